@@ -15,18 +15,55 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeat_dedup
+
+    return repeat_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import sharded
 
     return sharded(table(spark, sf_dir, "documents"))
 
 
+def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixed(docs)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import report
 
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -37,8 +74,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_repeat_dedup": op3_repeat_dedup,
     "op4_ring_shards": op4_ring_shards,
+    "op5_pfair_mix": op5_pfair_mix,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_near_dups": op7_near_dups,
     "op8_decontaminate": op8_decontaminate,
+    "op9_page_text": op9_page_text,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -78,7 +121,33 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """.replace("LOWER", _LOWER.format("coalesce(text, '')")).replace("WORD", _WORD_8)
 
+_OP6 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d),
+win AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, win FROM win GROUP BY doc_id, win HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, CAST(count(DISTINCT j) AS BIGINT) AS n_repeat_words
+  FROM (SELECT win.doc_id, unnest(range(win.i, win.i + 5)) AS j FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.win = twice.win) GROUP BY doc_id),
+a AS (
+  SELECT m.doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines
+  FROM m LEFT JOIN covered USING (doc_id)),
+b AS (
+  SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+         + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+         + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END AS bits FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, CAST(bits AS BIGINT) AS fail_bits,
+       bits & 3 <> 0 AS base_failed, bits = 0 AS kept
+FROM b
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": _OP6,
     "op1_line_dedup": _OP1,
     "op8_decontaminate": _OP8,
 }
