@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_folder, utf8, written
+from .common import SPACE, shared_folder, utf8
 
 STRIPPED = SPACE.encode()
 POSTING = "shard int, hi bigint, lo bigint, doc_id bigint, delta int"
+FILTER = "shard int, n_keys bigint, slots binary"
 
 
 class CuckooFilter:
@@ -133,13 +134,13 @@ class LineLedger:
     all are broadcast; beyond it the probe joins the exact counts by shuffle, with the same result.
     """
 
-    def __init__(self, spark: SparkSession, root: str, min_chars: int = 40, min_docs: int = 5, shards: int = 64, filter_bytes: int = 64 << 20) -> None:
+    def __init__(self, spark: SparkSession, root: str, min_chars: int = 40, min_docs: int = 5, shards: int = 256, filter_bytes: int = 64 << 20) -> None:
         self.spark, self.root = spark, root
         self.min_chars, self.min_docs, self.shards, self.filter_bytes = min_chars, min_docs, shards, filter_bytes
 
     # what the folder holds
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(POSTING).parquet(f"{self.root}/postings")
+        return self.spark.read.schema(POSTING).option("basePath", f"{self.root}/postings").parquet(f"{self.root}/postings").select("shard", "hi", "lo", "doc_id", "delta")
 
     def refcounts(self) -> DataFrame:
         """shard, hi, lo, n_docs, last_doc of every key that a document still holds."""
@@ -176,19 +177,68 @@ class LineLedger:
         self._change(self._post(docs, -1))
 
     def _change(self, postings: DataFrame) -> None:
-        postings.write.mode("append").parquet(f"{self.root}/postings")
-        # the filters follow the exact counts; those of shards without a change come out the same
-        due = self.refcounts().where(F.col("n_docs") >= self.min_docs)
+        """Adds a batch of postings, and takes the keys that reach or lose the threshold by it into or out of their
+        shards' filters. Each batch writes new filters beside the old ones, so that a batch that fails is repeated."""
+        batch = self._batches()
+        postings.write.mode("overwrite").parquet(f"{self.root}/postings/batch={batch}")
+        held = self.spark.read.schema(f"{POSTING}, batch int").option("basePath", f"{self.root}/postings").parquet(f"{self.root}/postings")
+        if batch:
+            touched = held.where(F.col("batch") == batch).select("shard", "hi", "lo").distinct()
+            held = held.join(touched, ["shard", "hi", "lo"], "left_semi")
+        per_doc = held.groupBy("shard", "hi", "lo", "doc_id").agg(F.sum("delta").alias("now"), F.sum(F.when(F.col("batch") < batch, F.col("delta")).otherwise(0)).alias("then"))
+        holders = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) >= self.min_docs
+        due = per_doc.groupBy("shard", "hi", "lo").agg(holders("now").alias("now"), holders("then").alias("then")).where("now <> then")
+        changes = due.select("shard", "lo", "now")
+
+        def changed(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            shard = int((old if len(old) else new)["shard"].iloc[0])
+            keys, n = np.zeros(0, np.uint64), int(old["n_keys"].iloc[0]) if len(old) else 0
+            gone = np.sort(new["lo"].to_numpy()[~new["now"].to_numpy(bool)].view("u8")) if len(new) else keys
+            come = np.sort(new["lo"].to_numpy()[new["now"].to_numpy(bool)].view("u8")) if len(new) else keys
+            if len(old) and old["slots"].iloc[0] is not None:
+                held = CuckooFilter.from_bytes(old["slots"].iloc[0])
+                held.delete(gone)
+                if not held.insert(come):
+                    held = None
+            else:
+                held = CuckooFilter.of(come)
+            return pd.DataFrame({"shard": [shard], "n_keys": [n + len(come) - len(gone)], "slots": [held.to_bytes() if held else None]})
+
+        before = self._filters(batch - 1) if batch else self.spark.createDataFrame([], FILTER)
+        made = before.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(changed, FILTER)
+        made.write.mode("overwrite").parquet(f"{self.root}/filters/{batch}")
+        if self._filters(batch).where("slots is null").limit(1).count():
+            self._grow(batch)
+
+    def _grow(self, batch: int) -> None:
+        """Builds the filters that have become too small anew, from the exact counts."""
+        filters = self._filters(batch)
+        small = filters.where("slots is null").select("shard")
+        due = self.refcounts().where(F.col("n_docs") >= self.min_docs).join(F.broadcast(small), "shard")  # at most a row for each shard
 
         def built(pdf: pd.DataFrame) -> pd.DataFrame:
-            made = CuckooFilter.of(np.sort(pdf["lo"].to_numpy().view("u8")))
-            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n_keys": [len(pdf)], "slots": [made.to_bytes()]})
+            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n_keys": [len(pdf)], "slots": [CuckooFilter.of(np.sort(pdf["lo"].to_numpy().view("u8"))).to_bytes()]})
+
+        due.select("shard", "lo").groupBy("shard").applyInPandas(built, FILTER).unionByName(filters.where("slots is not null")).write.mode("overwrite").parquet(f"{self.root}/filters/{batch}-grown")
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def _filters(self, batch: int) -> DataFrame:
+        grown = f"{self.root}/filters/{batch}-grown"
+        return self.spark.read.schema(FILTER).parquet(grown if self._exists(grown + "/_SUCCESS") else f"{self.root}/filters/{batch}")
 
-        due.select("shard", "lo").groupBy("shard").applyInPandas(built, "shard int, n_keys bigint, slots binary").write.mode("overwrite").parquet(f"{self.root}/filters")
+    def _batches(self) -> int:
+        """How many batches are complete."""
+        n = 0
+        while self._exists(f"{self.root}/filters/{n}/_SUCCESS"):
+            n += 1
+        return n
 
     def duplicates(self) -> DataFrame:
         """hi, lo, doc_id of every posting whose line goes: a duplicate key in a document that isn't its last."""
-        filters = self.spark.read.parquet(f"{self.root}/filters")
+        filters = self._filters(self._batches() - 1)
         held = self.postings().groupBy("shard", "hi", "lo", "doc_id").agg(F.sum("delta").alias("n")).where("n > 0").drop("n")
         size = filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
         if size <= self.filter_bytes:
