@@ -5,10 +5,10 @@ set under one hash function as its count of leading zeros and MANTISSA bits afte
 whose registers agree throughout a band meet in a bucket. What a link needs is decided on the full sets.
 
 Equal sets are one class and take part once, by their least doc_id. Within a bucket each class is first
-compared to one hub only; components of those links then leave only pairs of classes that no chain of links
-joins yet, and each of these pairs that agrees in a band, and whose collision-corrected estimate isn't far
-below the threshold, is confirmed in turn. So a large group of near copies costs about one comparison for each
-member, and no link between two components is passed over.
+compared to one hub only. Components of those links then leave only pairs of classes that no chain of links
+joins yet: the classes outside the largest component that meets a hub are held against all that meet it, block
+by block, where the collision-corrected estimate comes first and the full sets decide. No pairs are emitted but
+links that join two components, and no link between two components is passed over.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ MANTISSA = 10
 ESTIMATE_SLACK = 0.2
 #: Members compared to one copy of their hub, so that a hub of very many members is spread.
 MEMBERS_AT_ONCE = 500
+#: Classes outside the largest component of a cluster that a task holds, members that it reads, and common elements
+#: that it counts at a time.
+OUTSIDE_AT_ONCE, MEMBERS_OF_TASK, COMMON_AT_ONCE = 2048, 4096, 1 << 22
 #: Distinct words whose hashes a task keeps.
 MEMO = 1 << 20
 
@@ -92,11 +95,15 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return out
 
 
+def collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Chance that registers of sets of sizes n and m are equal where the hashes aren't: they meet in a cell of
+    2^-MANTISSA of its octave, n m / (n + m)^2 times the mean width of a cell, 1 / (2 ln 2) of its place."""
+    return n * m / (n + m) ** 2 / (2 * np.log(2)) / (1 << MANTISSA)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of the sets of sizes n and m from their registers (rows), without what equal
-    registers of unequal hashes add: they meet in a cell of 2^-MANTISSA of its octave with a chance of
-    n m / (n + m)^2 times the mean width of a cell, 1 / (2 ln 2) of its place."""
-    chance = n * m / (n + m) ** 2 / (2 * np.log(2)) / (1 << MANTISSA)
+    """Jaccard similarity of the sets of sizes n and m from their registers (rows), corrected for collisions."""
+    chance = collision(n, m)
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
@@ -183,6 +190,113 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(likely, "a bigint, b bigint")
 
 
+def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, by the places of the left sets' elements."""
+    owner = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    elements = np.concatenate(left)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    out = np.zeros((len(right), len(left)), np.int64)
+    at = 0
+    while at < len(right):
+        # as many right sets as have a bounded number of common elements
+        begin, end, rows, n = [], [], [], 0
+        while at < len(right) and n < COMMON_AT_ONCE:
+            b, e = np.searchsorted(elements, right[at], "left"), np.searchsorted(elements, right[at], "right")
+            begin.append(b)
+            end.append(e)
+            rows.append(np.full(len(b), at))
+            n += int((e - b).sum())
+            at += 1
+        b, size, row = np.concatenate(begin), np.concatenate(end) - np.concatenate(begin), np.concatenate(rows)
+        where = np.repeat(b - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        first = int(row[0]) if len(row) else 0
+        found = np.bincount((np.repeat(row, size) - first) * len(left) + owner[where], minlength=(at - first) * len(left))
+        out[first:at] += found.reshape(-1, len(left))
+    return out.T
+
+
+class _Apart:
+    """Classes of one cluster in different components: those outside the largest against a part of all of them."""
+
+    def __init__(self, size: int, percent: int) -> None:
+        self.size, self.percent, self.memo = size, percent, _WordHashes()
+        self.rows: list[tuple] = []
+        self.registers = np.zeros((0, REGISTERS), np.uint16)
+        self.joined: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (p := self.joined.get(c, c)) != c:
+            c = p
+        return c
+
+    def against(self, others: list[tuple]) -> list[tuple[int, int]]:
+        """Links that join components, one for each two that they join. Rows: id, component, registers, text."""
+        if not self.rows or not others:
+            return []
+        if len(self.registers) != len(self.rows):
+            self.registers = np.stack([np.frombuffer(r[2], np.uint16) for r in self.rows])
+            self.sets = [shingle_set(r[3], self.size, self.memo) for r in self.rows]
+        theirs = np.stack([np.frombuffer(r[2], np.uint16) for r in others])
+        sets = [shingle_set(r[3], self.size, self.memo) for r in others]
+        equal = np.zeros((len(self.rows), len(others)), np.int16)
+        for k in range(REGISTERS):
+            equal += self.registers[:, k, None] == theirs[None, :, k]
+        n, m = np.array([len(x) for x in self.sets], float)[:, None], np.array([len(x) for x in sets], float)[None]
+        chance = collision(n, m)
+        likely = (equal / REGISTERS - chance) / (1 - chance) >= self.percent / 100 - ESTIMATE_SLACK
+        likely &= 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        likely &= np.array([self.root(r[1]) for r in self.rows])[:, None] != np.array([self.root(r[1]) for r in others])[None]
+        a, b = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+        if not len(a):
+            return []
+        common = _counts([self.sets[i] for i in a], [sets[j] for j in b])
+        linked = likely[np.ix_(a, b)] & (100 * common >= self.percent * (n[a] + m[:, b] - common))
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = self.rows[a[i]], others[b[j]]
+            p, q = self.root(x[1]), self.root(y[1])
+            if p != q:
+                self.joined[max(p, q)] = min(p, q)
+                out.append((x[0], y[0]))
+        return out
+
+
+def _links_apart(clusters: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within a cluster (hub, id, component): enough to join all that any link joins.
+
+    The classes outside a cluster's largest component are held against all of the cluster, in parts: a task has at
+    most about OUTSIDE_AT_ONCE of the former in memory, and reads about MEMBERS_OF_TASK of the latter.
+    """
+    sizes = clusters.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("hub").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = F.floor((F.col("all") - F.col("main.n")) / OUTSIDE_AT_ONCE) + 1
+    shares = F.floor(F.col("all") / MEMBERS_OF_TASK) + 1
+    open_ = clusters.join(whole.select("hub", (-F.col("main.minus")).alias("main"), blocks.alias("blocks"), shares.alias("shares")), "hub")
+    zero = F.lit(0).cast("bigint")
+    outside = open_.where("component <> main").select("hub", "id", "component", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(zero, F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
+    inside = open_.select("hub", "id", "component", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "shares").alias("share"), F.lit(1).alias("member"))
+    rows = outside.unionByName(inside).join(classes.select("id", "registers"), "id").join(texts, "id")
+    dealt = rows.repartition("hub", "block", "share").sortWithinPartitions("hub", "block", "share", "member")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, waiting, links = None, _Apart(size, percent), [], []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("hub", "block", "share", "member", "id", "component", "registers"))
+            for hub, block, share, member, *row, text in zip(*columns, utf8(batch.column("text")), strict=True):
+                if at != (hub, block, share):
+                    links += held.against(waiting)
+                    at, held, waiting = (hub, block, share), _Apart(size, percent), []
+                (waiting if member else held.rows).append((*row, text))
+                if len(waiting) >= 512:
+                    links += held.against(waiting)
+                    waiting = []
+        links += held.against(waiting)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.select("hub", "block", "share", "member", "id", "component", "registers", "text").mapInArrow(compared, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -209,16 +323,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = often.groupBy("id").agg(F.max(F.struct("times", "w", "hub"))["hub"].alias("a")).select("a", F.col("id").alias("b"))
     candidates = members.select("id").distinct()
     texts = written(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(candidates.hint("shuffle_hash"), "id"), "candidates")
-    links = written(confirmed(first, texts, size, percent), "links-to-hubs")
+    links = written(confirmed(_likely(first, classes, percent), texts, size, percent), "links-to-hubs")
     part = components(links)
 
-    # what still stands apart within a bucket
-    labelled = members.select("id", "bucket").join(part, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    apart = labelled.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
-    open_rows = written(labelled.join(apart, "bucket"), "open-buckets")
-    left, right = open_rows.toDF("bucket", "a", "ca"), open_rows.toDF("bucket", "b", "cb")
-    pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = written(confirmed(written(_likely(pairs, classes, percent), "likely"), texts, size, percent), "more-links")
+    # what still stands apart among the classes that meet a hub
+    clusters = members.join(hubs, "bucket").select("hub", "id").distinct().join(part, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+    more = written(_links_apart(written(clusters, "clusters"), classes, texts, size, percent), "links-apart")
     final = components(links.union(more))
 
     out = ids.join(final, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
