@@ -7,7 +7,6 @@ inside an occurrence of a window.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,6 @@ from .common import utf8, written
 
 #: Bytes 00-2F, 3A-60 and 7B-7F, once A-Z are lower-cased, separate words; the rest stay.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
-HIT = "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,16 +74,18 @@ def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, b
     yield block
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 500_000) -> DataFrame:
-    """docs with n_words, spans (maximal runs of hit words, from 0) and items (ids as strings, sorted).
+def _fresh(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as tell it from the columns of docs."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
-    The windows of a block of at most most_words benchmark words are broadcast; a larger benchmark is scanned
-    for block after block, and the spans found so far go along with each row, written between the blocks.
-    Null has no words. Items without an id or words are left out; repeated items count once.
-    """
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most_words: int) -> tuple[DataFrame, str, str, str]:
+    """docs with three columns, and their names: words, spans and items."""
     spark = docs.sparkSession
-    held = [c for c in docs.columns]
-    out = docs.withColumns({"_n": F.lit(0).cast("bigint"), "_spans": F.lit(None).cast("array<struct<first:bigint,last:bigint>>"), "_items": F.lit(None).cast("array<string>"), "_text": F.col("text").cast("binary")})
+    count, spans_, items_, text_ = (_fresh(docs, f"_{x}") for x in ("n", "spans", "items", "text"))
+    out = docs.withColumns({count: F.lit(0).cast("bigint"), spans_: F.lit(None).cast("array<struct<first:bigint,last:bigint>>"), items_: F.lit(None).cast("array<string>"), text_: F.col("text").cast("binary")})
     for k, block in enumerate(_blocks(benchmark, most_words)):
         windows = spark.sparkContext.broadcast((block, n))
         schema = out.schema
@@ -94,7 +94,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 5
             found = Windows(*windows.value)
             for b in batches:
                 counts, spans, items = [], [], []
-                for text, s, i in zip(utf8(b.column("_text")), b.column("_spans").to_pylist(), b.column("_items").to_pylist(), strict=True):
+                for text, s, i in zip(utf8(b.column(text_)), b.column(spans_).to_pylist(), b.column(items_).to_pylist(), strict=True):
                     words = words_of(text)
                     hit, own = found.found(words)
                     for x in s or ():
@@ -102,36 +102,52 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 5
                     counts.append(len(words))
                     spans.append(_runs(hit))
                     items.append(sorted(own.union(i or ())))
-                new = {"_n": pa.array(counts, pa.int64()), "_spans": pa.array(spans, b.column("_spans").type), "_items": pa.array(items, b.column("_items").type)}
+                new = {count: pa.array(counts, pa.int64()), spans_: pa.array(spans, b.column(spans_).type), items_: pa.array(items, b.column(items_).type)}
                 yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
 
         if k:
             out = written(out, "benchmark-hits")
         out = out.mapInArrow(scan, schema)
-    return out.select(*held, F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    return out.drop(text_), count, spans_, items_
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 500_000) -> DataFrame:
+    """docs with n_words, spans (maximal runs of hit words, from 0) and items (ids as strings, sorted), in place of
+    columns of these names.
+
+    The windows of a block of at most most_words benchmark words are broadcast; a larger benchmark is scanned
+    for block after block, and the spans found so far go along with each row, written between the blocks.
+    Null has no words. Items without an id or words are left out; repeated items count once.
+    """
+    docs = docs.drop("n_words", "spans", "items")
+    out, count, spans, items = _scanned(docs, benchmark, n, most_words)
+    return out.select(*docs.columns, F.col(count).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
+
+
+def _hit_words(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
     found = hits(docs.select("doc_id", "text"), benchmark, n)
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "spans").withColumn("contaminated", F.col("n_hit") > 0).drop("spans")
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", _hit_words("spans").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), items.alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.2) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.2, most_words: int = 500_000) -> DataFrame:
     """docs without what the benchmark shares with them: a document goes if at least drop_share of its words
     are hit; else the hit words go, each span with what stands between its words. n_chars, where docs has it,
     follows a changed text. Documents without a hit stay as they are, null texts too."""
-    share = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1) / F.greatest("n_words", F.lit(1))
-    found = hits(docs, benchmark, n).where(share < drop_share).drop("n_words", "items")
-    schema = found.schema
+    found, count, spans_, _ = _scanned(docs, benchmark, n, most_words)
+    found = found.where(_hit_words(spans_) / F.greatest(count, F.lit(1)) < drop_share).select(*docs.columns, spans_)
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             lengths = b.column("n_chars").to_pylist() if "n_chars" in columns else None
-            for i, spans in enumerate(b.column("spans").to_pylist()):
+            for i, spans in enumerate(b.column(spans_).to_pylist()):
                 if spans:
                     texts[i] = without(texts[i], [(x["first"], x["last"]) for x in spans])
                     if lengths:
@@ -141,7 +157,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: floa
                 new["n_chars"] = pa.array(lengths, b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
 
-    return found.mapInArrow(cut, schema).select(*columns)
+    return found.mapInArrow(cut, found.schema).select(*columns)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -154,7 +170,3 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
         left.append(data[at : edges[first, 0]])
         at = edges[last, 1]
     return b"".join([*left, data[at:]]).decode()
-
-
-def items_digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

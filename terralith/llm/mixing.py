@@ -68,36 +68,44 @@ def schedule(weights: DataFrame) -> DataFrame:
     return rows.select("s.source", "s.weight", "total", turn.alias("turn"), F.col("slot").cast("bigint").alias("slot"))
 
 
+def _placed(docs: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
+    """The rows of docs as a struct, with their places in the mix."""
+    source, order = F.coalesce("source", F.lit("")), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    part = F.substring(order, 1, DIGITS)
+    keyed = docs.select(source.alias("source"), order.alias("order"), part.alias("part"), F.col("doc_id").alias("doc"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
+    sizes = docs.select(source.alias("source"), part.alias("part")).groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    # at most 16^DIGITS numbers for each source
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("source", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    if weights is None:
+        weights = smoothed_weights(docs)
+    else:
+        weights = docs.select(source.alias("source")).distinct().join(weights, "source", "left").select("source", F.coalesce("weight", F.lit(1)).alias("weight"))
+    round_ = schedule(weights)
+    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy("order", "doc", "tie")) - 1
+    placed = keyed.select("source", "part", "row", rank.alias("rank")).join(offsets, ["source", "part"]).select("source", "row", (F.col("rank") + F.col("before")).alias("index"))
+    per_source = F.broadcast(round_.groupBy("source").agg(F.first("weight").alias("weight")))
+    placed = placed.join(per_source, "source").withColumn("block", F.floor(F.col("index") / block).cast("bigint")).withColumn("turn", F.col("block") % F.col("weight"))
+    # one round: as many rows as its slots
+    dealt = placed.join(F.broadcast(round_.drop("weight")), ["source", "turn"])
+    slot = F.expr("block div weight") * F.col("total") + F.col("slot")
+    return dealt.select("row", F.col("weight").alias("mix_weight"), F.col("total").alias("mix_total"), F.col("block").alias("mix_block"), slot.alias("mix_slot"), (F.col("index") % block).cast("bigint").alias("mix_place"))
+
+
+ADDED = ("mix_weight", "mix_total", "mix_block", "mix_slot", "mix_place")
+
+
 def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """docs with weight, total, block (of the row's source, from 0), slot and place (in the block, from 0).
+    """docs with mix_weight, mix_total, mix_block (of the row's source, from 0), mix_slot and mix_place (in the
+    block, from 0), in place of columns of these names.
 
     Read in the order of slot and place, every stretch has the target weights. No row is left out or repeated:
     rows of sources without a weight get the smallest weight of 1. A null source is the source '', whose name
     stays null; a null doc_id is ordered as ''. Rows with equal doc_id are in order of all their columns' hash.
     """
-    names = docs.columns
-    keyed = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("_part", F.substring("_order", 1, DIGITS))
-    sizes = docs.select(F.coalesce("source", F.lit("")).alias("_source"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS).alias("_part")).groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 16^DIGITS numbers for each source
-    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_source", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    if weights is None:
-        weights = smoothed_weights(docs)
-    else:
-        there = docs.select(F.coalesce("source", F.lit("")).alias("source")).distinct()
-        weights = there.join(weights, "source", "left").select("source", F.coalesce("weight", F.lit(1)).alias("weight"))
-    round_ = schedule(weights).select(F.col("source").alias("_source"), "weight", "total", "turn", F.col("slot").alias("_slot"))
-    rank = F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_order", "doc_id", F.xxhash64(*names))) - 1
-    placed = keyed.withColumn("_rank", rank).join(offsets, ["_source", "_part"]).withColumn("_index", F.col("_rank") + F.col("_before"))
-    per_source = F.broadcast(round_.groupBy("_source").agg(F.first("weight").alias("_weight")))
-    placed = placed.withColumn("_block", F.floor(F.col("_index") / block).cast("bigint")).join(per_source, "_source").withColumn("turn", F.col("_block") % F.col("_weight"))
-    # one round: as many rows as its slots
-    dealt = placed.join(F.broadcast(round_), ["_source", "turn"])
-    slot = F.expr("_block div _weight") * F.col("total") + F.col("_slot")
-    return dealt.select(*[F.col(c) for c in names], F.col("weight").alias("mix_weight"), F.col("total").alias("mix_total"), F.col("_block").alias("mix_block"), slot.alias("mix_slot"), (F.col("_index") % block).cast("bigint").alias("mix_place"))
+    return _placed(docs.drop(*ADDED), weights, block).select("row.*", *ADDED)
 
 
 def in_order(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs, with its columns, in the order of the mix: written files hold it from first to last."""
-    names = docs.columns
-    return mixed(docs, weights, block).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*names)
+    return _placed(docs, weights, block).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select("row.*")

@@ -146,7 +146,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM b
 """
 
+_WORD = _LOWER.format("coalesce(text, '')")
+
+
+def _op2() -> str:
+    from .license_scan import BLOCK, PHRASES, TEMPLATES, template_words
+
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', {quoted(template_words(t))})" for label, t in TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_WORD}, '{_WORD_8}') AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}),
+templates(label, t) AS (VALUES {templates}),
+places AS (
+  SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, phrases) WHERE w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(list_slice(w, b * {BLOCK // 2} + 1, b * {BLOCK // 2} + {BLOCK})) AS k FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - {BLOCK}) / {BLOCK // 2})) AS BIGINT) + 1)) AS b FROM d)),
+held AS (SELECT doc_id, label, len(list_intersect(t, k)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(t, k)) >= ceil(0.8 * len(t) - 1e-9)),
+found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM held) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM held GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+_OP5 = """
+WITH RECURSIVE counts AS (SELECT coalesce(source, '') AS s, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM documents GROUP BY 1),
+weights AS (SELECT s, 1 + (1000 * root) // (SELECT sum(root) FROM counts) AS weight FROM counts),
+whole AS (SELECT list(CAST(weight AS BIGINT) ORDER BY s) AS w, CAST(sum(weight) AS BIGINT) AS q FROM weights),
+slots AS (
+  SELECT CAST(0 AS BIGINT) AS t, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, w, q FROM whole
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p, w, q
+  FROM (SELECT *, list_sort(list_filter(list_transform(done, lambda d, i: CASE WHEN (d * q) // w[i] <= t AND d < w[i] THEN {'due': ((d + 1) * q + w[i] - 1) // w[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i AS p FROM slots WHERE t < q)),
+turns AS (SELECT pick, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM slots WHERE t > 0),
+named AS (SELECT s, weight, row_number() OVER (ORDER BY s) AS pick FROM weights),
+places AS (SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS idx FROM documents)
+SELECT doc_id, source, CAST(weight AS BIGINT) AS mix_weight, q AS mix_total, CAST(idx // 64 AS BIGINT) AS mix_block,
+       CAST((idx // 64) // weight * q + slot AS BIGINT) AS mix_slot, CAST(idx % 64 AS BIGINT) AS mix_place
+FROM places JOIN named USING (s) JOIN turns ON turns.pick = named.pick AND turns.turn = (idx // 64) % weight, whole
+"""
+
+_OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(LOWER, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_slice(w, i, i + 1) END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.r),
+parts AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN parts USING (doc_id) LEFT JOIN n USING (doc_id)
+""".replace("LOWER", _WORD)
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": _op2(),
+    "op5_pfair_mix": _OP5,
+    "op7_near_dups": _OP7,
     "op6_quality_rules": _OP6,
     "op1_line_dedup": _OP1,
     "op8_decontaminate": _OP8,

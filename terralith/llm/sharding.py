@@ -77,24 +77,22 @@ def ring_cell(position: Column) -> Column:
 
 
 def ring_shards(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataFrame:
-    """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
+    """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard), in place of columns of these names.
 
     A row's place on the ring is the hash of its doc_id, null included; rows of one place are ordered by
-    doc_id, then by the hash of their text, so that a recomputed task deals them out alike. Copies of a text
+    doc_id, then by the hash of all columns, so that a recomputed task deals them out alike. Copies of a text
     have places of their own, so a large group of them is spread. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    names = set(docs.columns)
-    position, rank = (next(c for i in range(len(names) + 1) if (c := f"_{x}{i}") not in names) for x in ("position", "rank"))
+    docs = docs.drop("shard", "slot")
     placed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     counts = {r["cell"]: r["n"] for r in docs.select(ring_cell(placed).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    dealt = spark.createDataFrame(allotted(counts, shards, nodes, row_bounds(sum(counts.values()), shards)), "cell int, first bigint, end bigint, shard int, slot bigint")
-    tie = F.xxhash64(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    ranked = docs.withColumns({position: placed, "_tie": tie}).withColumn("_cell", ring_cell(F.col(position)))
-    ranked = ranked.withColumn(rank, F.row_number().over(Window.partitionBy("_cell").orderBy(position, "doc_id", "_tie")) - 1)
+    ranges = allotted(counts, shards, nodes, row_bounds(sum(counts.values()), shards))
+    dealt = docs.sparkSession.createDataFrame(ranges, "of int, first bigint, end bigint, shard int, start bigint")
+    keyed = docs.select(placed.alias("position"), ring_cell(placed).alias("cell"), F.col("doc_id").alias("doc"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
+    ranked = keyed.select("row", "cell", (F.row_number().over(Window.partitionBy("cell").orderBy("position", "doc", "tie")) - 1).alias("rank"))
     # at most one row for each cell and shard: of bounded size
-    joined = ranked.join(F.broadcast(dealt.toDF("_c", "_first", "_end", "_shard", "_slot")), (F.col("_cell") == F.col("_c")) & (F.col(rank) >= F.col("_first")) & (F.col(rank) < F.col("_end")))
-    return joined.select(*docs.columns, F.col("_shard").alias("shard"), (F.col("_slot") + F.col(rank) - F.col("_first")).alias("slot"))
+    joined = ranked.join(F.broadcast(dealt), (F.col("cell") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    return joined.select("row.*", "shard", (F.col("start") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataFrame:
