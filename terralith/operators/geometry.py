@@ -7,7 +7,6 @@ same segment has a pixel. The keys are places, so that a segment of any size is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,7 +62,7 @@ def moments(px: DataFrame) -> DataFrame:
     middle = (F.col("_20") + F.col("_02")) / 2
     spread = F.sqrt(((F.col("_20") - F.col("_02")) / 2) ** 2 + F.col("_11") ** 2)
     at = at.withColumns({"_l1": F.greatest(F.lit(0.0), middle + spread), "_l2": F.greatest(F.lit(0.0), middle - spread)})
-    level = F.when(F.col("_11") > 0, -math.pi / 4).otherwise(math.pi / 4)
+    level = F.when(F.col("_11") > 0, math.pi / 4).otherwise(-math.pi / 4)
     turned = F.atan2(2 * F.col("_11"), F.col("_20") - F.col("_02")) / 2
     out = at.withColumns({
         "eccentricity": F.when(F.col("_l1") > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("_l2"), F.col("_l1"))))).otherwise(0.0),
@@ -129,8 +128,3 @@ def geometry(px: DataFrame, pixel_size: float | None = None) -> DataFrame:
         "rectangularity": guarded(F.col("area_px"), box),
     })
     return out.select(*by, *FEATURES)
-
-
-def iterate_rows(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
-    """Rows and columns of a frame of pixels, in page order."""
-    yield from sorted(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))

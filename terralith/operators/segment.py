@@ -65,8 +65,9 @@ class Segmenter:
             out["segment_id"] = np.where(pdf["_mask"].to_numpy(), 0, labels).astype("int32")
             return out
 
-        grouped = masked.select(*order, "_mask").groupBy(*by) if by else masked.select(*order, "_mask").groupBy(F.lit(0))
-        return grouped.applyInPandas(labelled, schema)
+        # one group for an image without a name
+        rows = masked.select(*order, "_mask", F.lit(0).alias("_all"))
+        return rows.groupBy(*(by or ["_all"])).applyInPandas(labelled, schema)
 
 
 def _labels(pdf: pd.DataFrame, bands: list[str], run: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:

@@ -137,10 +137,10 @@ class SupervisedClassifier:
         if self.algorithm == "random_forest":
             rows = rows.join(F.broadcast(balanced_weights(both)), "class_label") if p["class_weight"] == "balanced" else rows.withColumn("weight", F.lit(1.0))
             # the least rows of a split are at least twice those of a leaf
-            learner = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="weight", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r", numTrees=p["n_estimators"], maxDepth=min(DEEPEST, p["max_depth"] or DEEPEST), minInstancesPerNode=max(1, p["min_samples_split"] // 2), featureSubsetStrategy=str(p["max_features"] or "all"), seed=p["random_state"])
+            learner = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="weight", predictionCol="_p", numTrees=p["n_estimators"], maxDepth=min(DEEPEST, p["max_depth"] or DEEPEST), minInstancesPerNode=max(1, p["min_samples_split"] // 2), featureSubsetStrategy=str(p["max_features"] or "all"), seed=p["random_state"])
         else:
-            boosted = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q", maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], seed=p["random_state"])
-            learner = boosted if len(self.classes) <= 2 else OneVsRest(classifier=boosted, featuresCol="_x", labelCol="_y", predictionCol="_p", rawPredictionCol="_r")
+            boosted = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], seed=p["random_state"])
+            learner = boosted if len(self.classes) <= 2 else OneVsRest(classifier=boosted, featuresCol="_x", labelCol="_y", predictionCol="_p")
         self.model = learner.fit(rows)
         return self
 
@@ -166,9 +166,9 @@ class SupervisedClassifier:
             return shown.mapInPandas(scored, ", ".join(f"{c} {types[c]}" for c in by) + ", _q array<double>")
         out = self.model.transform(assembled(features, names))
         if self.algorithm == "random_forest" or len(self.classes) <= 2:
-            return out.select(*by, vector_to_array("_q").alias("_q"))
+            return out.select(*by, vector_to_array("probability").alias("_q"))
         # raw scores of one model against the rest each, made to add up to 1
-        chance = F.transform(vector_to_array("_r"), lambda r: 1 / (1 + F.exp(-2 * r)))
+        chance = F.transform(vector_to_array("rawPrediction"), lambda r: 1 / (1 + F.exp(-2 * r)))
         total = F.aggregate("_c", F.lit(0.0), lambda a, v: a + v)
         return out.select(*by, chance.alias("_c")).select(*by, F.transform("_c", lambda v: v / total).alias("_q"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,17 +49,34 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Rows of a block of points, two of which a task compares.
+BLOCK = 2000
+
+
 def kth_distances(features: DataFrame, k: int, names: list[str] | None = None) -> DataFrame:
     """segment_id, distance to its k-th nearest row, itself being the first.
 
-    All rows are held against all: a statistic of the table's own points, meant for feature tables of one image.
-    The k least distances are kept by an aggregate and not by a sort of each point's.
+    All rows are held against all, block by block: a group is two blocks of about BLOCK points, and gives the k
+    least distances of each point of the first. No pairs are emitted, and no group grows with the table.
     """
-    points = _points(features, names or feature_columns(features))
-    other = points.select(F.col("x").alias("y"))
-    pairs = points.join(other, how="cross").select("segment_id", squared_distance(F.col("x"), F.col("y")).alias("d"))
-    least = F.aggregate(F.collect_list("d"), F.array().cast("array<double>"), lambda a, d: F.slice(F.array_sort(F.concat(a, F.array(d))), 1, k))
-    return pairs.groupBy("segment_id").agg(F.sqrt(F.element_at(least, -1)).alias("distance"))
+    points = _points(features, names or feature_columns(features)).select("segment_id", "x")
+    blocks = max(1, -(-features.count() // BLOCK))
+    own = points.withColumn("own", F.pmod(F.xxhash64("segment_id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = own.withColumn("other", every)
+    others = own.select(F.col("x").alias("y"), F.col("own").alias("theirs"), every.alias("mine"))
+
+    def least(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or theirs.empty:
+            return pd.DataFrame({"segment_id": [], "d": []})
+        a, b = np.stack(mine["x"].to_list()), np.stack(theirs["y"].to_list())
+        d = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            d += (a[:, i, None] - b[None, :, i]) ** 2
+        return pd.DataFrame({"segment_id": mine["segment_id"], "d": list(np.sort(np.partition(d, min(k, len(b)) - 1, axis=1)[:, :k], axis=1))})
+
+    found = asks.groupBy("own", "other").cogroup(others.groupBy("mine", "theirs")).applyInPandas(least, "segment_id int, d array<double>")
+    return found.groupBy("segment_id").agg(F.sqrt(F.sort_array(F.flatten(F.collect_list("d")))[k - 1]).alias("distance"))
 
 
 def auto_eps(features: DataFrame, min_samples: int = 5, names: list[str] | None = None) -> DataFrame:

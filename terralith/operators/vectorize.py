@@ -56,7 +56,7 @@ def rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]
 
 def area(ring: list[tuple[float, float]]) -> float:
     """Signed area, positive for outer rings as EDGES turns them."""
-    return sum(r0 * c1 - r1 * c0 for (r0, c0), (r1, c1) in zip(ring, ring[1:], strict=False)) / 2
+    return sum(c0 * r1 - c1 * r0 for (r0, c0), (r1, c1) in zip(ring, ring[1:], strict=False)) / 2
 
 
 def holds(ring: list[tuple[int, int]], r: float, c: float) -> bool:

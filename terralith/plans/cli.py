@@ -14,7 +14,7 @@ from ..operators.segment import segment, segment_tiled
 from ..operators.supervised import ALGORITHMS as SUPERVISED
 from ..operators.supervised import classify
 from ..operators.vectorize import vectorize, with_attributes
-from ..sources.geotiff import RasterMeta, read_raster, write_labels
+from ..sources.geotiff import read_raster, write_labels
 from ..sources.tables import write_table
 from ..sources.vector import geopackage_layers, read_vector, sample_geometries, write_vector
 
@@ -160,9 +160,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return {"segment": run_segment, "extract": run_extract, "classify": run_classify, "info": run_info, "export": run_export}[a.command](spark, a)
 
 
-def raster_meta(width: int, height: int, count: int = 1) -> RasterMeta:
-    return RasterMeta(width, height, count, "float64")
-
-
 if __name__ == "__main__":
     sys.exit(main())

@@ -122,7 +122,7 @@ _MOMENTS = """m AS (
 l AS (SELECT *, greatest(0, (rr + cc) / 2 + sqrt(((rr - cc) / 2) ** 2 + rc ** 2)) AS l1, greatest(0, (rr + cc) / 2 - sqrt(((rr - cc) / 2) ** 2 + rc ** 2)) AS l2 FROM m)"""
 
 
-@query(f"WITH {SHEARED}, {_MOMENTS} SELECT segment_id, round(4 * sqrt(l1), 6) AS major_axis_length, round(4 * sqrt(l2), 6) AS minor_axis_length, round(CASE WHEN l1 > 0 THEN sqrt(greatest(0, 1 - l2 / l1)) ELSE 0 END, 6) AS eccentricity, round(CASE WHEN rr = cc THEN CASE WHEN rc > 0 THEN -pi() / 4 ELSE pi() / 4 END ELSE atan2(2 * rc, rr - cc) / 2 END, 6) AS orientation FROM l")
+@query(f"WITH {SHEARED}, {_MOMENTS} SELECT segment_id, round(4 * sqrt(l1), 6) AS major_axis_length, round(4 * sqrt(l2), 6) AS minor_axis_length, round(CASE WHEN l1 > 0 THEN sqrt(greatest(0, 1 - l2 / l1)) ELSE 0 END, 6) AS eccentricity, round(CASE WHEN rr = cc THEN CASE WHEN rc > 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE atan2(2 * rc, rr - cc) / 2 END, 6) AS orientation FROM l")
 def geometry_axes(spark, sf):
     out = geometry.moments(grid.pixels(spark, sf, sheared=True))
     return rounded(out.select("segment_id", "major_axis_length", "minor_axis_length", "eccentricity", "orientation"))

@@ -294,6 +294,15 @@ def read_raster(spark: SparkSession, *paths: str, tile_size: int = 512) -> tuple
     return spark.read.format("geotiff_pixels").option("tileSize", tile_size).load(",".join(paths)), read_meta(paths[0])
 
 
+def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, RasterMeta]:
+    """row, col, segment_id from the first band of a file; ValueError if no label is above 0."""
+    px, meta = read_raster(spark, path)
+    out = px.select("row", "col", px["b0"].cast("int").alias("segment_id"))
+    if not out.where("segment_id > 0").limit(1).count():
+        raise ValueError(f"{path} holds no labels")
+    return out, meta
+
+
 def write_labels(px: DataFrame, path: str, meta: RasterMeta, column: str = "segment_id", dtype: str = "int32") -> None:
     """One image's labels as a file. The driver holds the whole raster, as the file is written by one process."""
     out = np.zeros((meta.height, meta.width), dtype)
