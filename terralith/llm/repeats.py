@@ -34,6 +34,8 @@ KEY = LENGTH - WINDOW + 1
 BLOOM_BITS, BLOOM_MOST = 12, 1 << 28
 #: Contexts of one key that a task compares; keys with more are compared by a shuffle of their strings.
 CONTEXTS_AT_ONCE = 4096
+#: Such keys that are broadcast, at 8 bytes each.
+LARGE_AT_ONCE = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -214,11 +216,13 @@ def _runs(b: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> pa.RecordBat
 SPAN = "doc bigint, tag int, first int, last int"
 
 
-def _compared(contexts: DataFrame) -> DataFrame:
+def _compared(contexts: DataFrame, known: DataFrame) -> DataFrame:
     """Spans of strings that occur in another row of their key. contexts: rows of FOUND, one for each context."""
-    per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    sized = contexts.join(per_key, "key").where("rows > 1")
-    few, many = sized.where(F.col("rows") <= CONTEXTS_AT_ONCE).drop("rows"), sized.where(F.col("rows") > CONTEXTS_AT_ONCE).drop("rows")
+    # keys of so many contexts that no task holds them: one for CONTEXTS_AT_ONCE contexts at most
+    large = written(known.where(F.col("contexts") > CONTEXTS_AT_ONCE).select("key").distinct(), "large-keys")
+    n = large.count()
+    named = F.broadcast(large) if n <= LARGE_AT_ONCE else large
+    few = contexts.join(named, "key", "left_anti") if n else contexts
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -251,7 +255,9 @@ def _compared(contexts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("doc").take(own), b.column("tag").take(own), pa.array(start.astype(np.int32))], ["h", "doc", "tag", "first"])
 
     near = few.repartition("key").sortWithinPartitions("key").mapInArrow(locally, SPAN)
-    each = many.mapInArrow(strings, "h bigint, doc bigint, tag int, first int")
+    if not n:
+        return near
+    each = contexts.join(named, "key", "left_semi").select(*contexts.columns).mapInArrow(strings, "h bigint, doc bigint, tag int, first int")
     again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     return near.unionByName(each.join(again, "h").select("doc", "tag", "first", F.col("first").alias("last")))
 
@@ -277,8 +283,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     found = written(_asked(rows, bloom(twice, False), bloom(several, True)), "repeated-positions")
     full = found.join(twice.select("key", "context"), ["key", "context"]).select("doc", "tag", "first", "last")
-    one_each = found.where("bytes is not null").dropDuplicates(["key", "context", "doc", "tag", "first"])
-    return full.unionByName(_compared(one_each)).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # a context found twice here, as a filter lets it pass or its row repeats, is a repeated one
+    return full.unionByName(_compared(found.where("bytes is not null"), known)).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def repeat_dedup(docs: DataFrame) -> DataFrame:
