@@ -1,7 +1,8 @@
 """The text pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns that they are given.
+next stage's docs. All but the last return the columns that they are given, and rows read again have no order, so
+the last works out their places in the mix anew, from the same rows, and numbers the slots of each shard by them.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from terralith.llm.common import table, written
 from terralith.llm.decontaminate import cleaned
-from terralith.llm.mixing import in_order
+from terralith.llm.mixing import in_order, placed_rows
 from terralith.llm.near_dups import near_duplicates
 from terralith.llm.quality_rules import kept_rows
-from terralith.llm.sharding import ring_shards
+from terralith.llm.sharding import ring_shards, slots_by
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
-    return ring_shards(docs)
+    """All documents with their shard and their slot in it, slots in the order of the mix."""
+    placed = placed_rows(docs.drop("shard", "slot")).select(F.col("row")["doc_id"].alias("doc_id"), "row", "mix_slot", "mix_place")
+    return slots_by(ring_shards(placed), "mix_slot", "mix_place").select("row.*", "shard", "slot")
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shards)]

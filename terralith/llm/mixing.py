@@ -68,8 +68,8 @@ def schedule(weights: DataFrame) -> DataFrame:
     return rows.select("s.source", "s.weight", "total", turn.alias("turn"), F.col("slot").cast("bigint").alias("slot"))
 
 
-def _placed(docs: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
-    """The rows of docs as a struct, with their places in the mix."""
+def placed_rows(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """The rows of docs as a struct row, with their places in the mix."""
     source, order = F.coalesce("source", F.lit("")), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     part = F.substring(order, 1, DIGITS)
     keyed = docs.select(source.alias("source"), order.alias("order"), part.alias("part"), F.col("doc_id").alias("doc"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
@@ -103,9 +103,9 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK)
     rows of sources without a weight get the smallest weight of 1. A null source is the source '', whose name
     stays null; a null doc_id is ordered as ''. Rows with equal doc_id are in order of all their columns' hash.
     """
-    return _placed(docs.drop(*ADDED), weights, block).select("row.*", *ADDED)
+    return placed_rows(docs.drop(*ADDED), weights, block).select("row.*", *ADDED)
 
 
 def in_order(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs, with its columns, in the order of the mix: written files hold it from first to last."""
-    return _placed(docs, weights, block).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select("row.*")
+    return placed_rows(docs, weights, block).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select("row.*")

@@ -19,6 +19,8 @@ from .common import text_or_empty
 
 #: Cells of the ring.
 CELLS = 1 << 16
+#: Values of the first order column that are numbered together.
+STRETCH = 32
 
 
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -95,6 +97,22 @@ def ring_shards(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataFrame
     return joined.select("row.*", "shard", (F.col("start") + F.col("rank") - F.col("first")).alias("slot"))
 
 
+def slots_by(rows: DataFrame, major: str, minor: str) -> DataFrame:
+    """rows (shard, slot, and whole numbers major and minor) with each shard's slots, gapless from 0, in the order of
+    major and minor.
+
+    Rows are ranked in stretches of major, so that a shard is many groups; only the sizes of its stretches are
+    summed up along it.
+    """
+    rows = rows.withColumn("_stretch", F.floor(F.col(major) / STRETCH))
+    sizes = rows.groupBy("shard", "_stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("shard", "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_stretch").orderBy(major, minor)) - 1
+    out = rows.withColumn("_rank", rank).join(offsets, ["shard", "_stretch"])
+    return out.withColumn("slot", (F.col("_before") + F.col("_rank")).cast("bigint")).select(*rows.drop("_stretch").columns)
+
+
 def sharded(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text).
 

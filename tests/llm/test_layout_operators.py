@@ -16,7 +16,7 @@ from terralith.llm.dom import Page
 from terralith.llm.mixing import in_order, mixed, schedule, smoothed_weights
 from terralith.llm.page_maker import made_pages
 from terralith.llm.page_text import decoded, extracted, features, main_text, trained
-from terralith.llm.sharding import CELLS, allotted, ring, row_bounds, sharded
+from terralith.llm.sharding import CELLS, allotted, ring, ring_shards, row_bounds, sharded
 
 
 # mixing
@@ -181,3 +181,29 @@ def test_pipeline(spark, docs, texts, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame.limit(0), folder).columns == names
         assert stage(spark, frame.where(F.lit(False)), folder).count() == 0
+
+
+def test_pipeline_slots_follow_the_mix(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "big" if i % 10 else None if i % 20 else "small", i) for i in range(6000)]
+    frame = spark.createDataFrame([*rows, (None, None, "en", "big", 0), rows[7]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    frame.write.parquet(str(tmp_path / "in"))
+    read = spark.read.parquet(str(tmp_path / "in"))
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, read, "").write.parquet(str(tmp_path / "mixed"))
+    out = stages["sharding"](spark, spark.read.parquet(str(tmp_path / "mixed")), "")
+    assert out.columns == [*frame.columns, "shard", "slot"]
+    got = out.collect()
+    assert Counter(r[:5] for r in got) == Counter(tuple(r) for r in frame.collect())
+    place = {}
+    for r in mixed(read).collect():
+        place.setdefault(r["doc_id"], []).append((r["mix_slot"], r["mix_place"]))
+    assert Counter((r["doc_id"], r["shard"]) for r in got) == Counter((r["doc_id"], r["shard"]) for r in ring_shards(read).collect())
+    weights = {r["source"]: r["weight"] for r in smoothed_weights(read).collect()}
+    for s in range(8):
+        own = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        at = [min(place[r["doc_id"]]) for r in own if len(place[r["doc_id"]]) == 1]
+        assert at == sorted(at)
+        # the small sources are spent early, at their weights
+        first = Counter(r["source"] or "" for r in own[:100])
+        assert all(abs(first[k] / 100 - w / sum(weights.values())) < 0.2 for k, w in weights.items())
