@@ -56,10 +56,11 @@ def period(spark: SparkSession, sf_dir: str, after: bool) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """segment_id, f0 and so on, label from the embeddings."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_id, f0 and so on for every component, label from the embeddings."""
     e = read(spark, sf_dir, "embeddings")
-    return e.select((F.col("vec_id") + 1).cast("int").alias("segment_id"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)), "label")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select((F.col("vec_id") + 1).cast("int").alias("segment_id"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(n)), "label")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

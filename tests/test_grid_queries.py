@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from terralith.plans import grid
 from terralith.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,15 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and abs(sum(r["pct"] for r in rows) - 100) < 1
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_vectors_are_whole(spark, tmp_path):
+    rows = [(i, [float(i * 100 + k) for k in range(64)], i % 3) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = grid.vectors(spark, str(tmp_path))
+    assert got.columns == ["segment_id", *(f"f{k}" for k in range(64)), "label"]
+    assert sorted(map(tuple, got.collect())) == [(i + 1, *v, label) for i, v, label in rows]
+
+
+def test_importance_of_every_component(spark):
+    assert {r["feature"] for r in QUERIES["feature_importance"](spark, SF).collect()} == {f"f{k}" for k in range(64)}
