@@ -472,12 +472,12 @@ def batch_summary_query(spark, sf):
 
 @query()
 def kmeans(spark, sf):
-    return unsupervised.UnsupervisedClassifier("kmeans", n_clusters=5, n_init=2).fit(_points(spark, sf)).predict(_points(spark, sf))
+    return unsupervised.UnsupervisedClassifier("kmeans", n_clusters=5).fit(_points(spark, sf)).predict(_points(spark, sf))
 
 
 @query()
 def gmm(spark, sf):
-    return rounded(unsupervised.UnsupervisedClassifier("gmm", n_components=3, n_init=1).fit(_points(spark, sf)).predict_proba(_points(spark, sf)))
+    return rounded(unsupervised.UnsupervisedClassifier("gmm", n_components=3).fit(_points(spark, sf)).predict_proba(_points(spark, sf)))
 
 
 def _supervised(algorithm: str, **params) -> Query:
@@ -490,7 +490,7 @@ def _supervised(algorithm: str, **params) -> Query:
     return query()(run)
 
 
-_supervised("random_forest", n_estimators=20, max_depth=8)
+_supervised("random_forest")
 _supervised("gradient_boosting", n_estimators=3, max_depth=3)
 _supervised("svm")
 
@@ -498,13 +498,13 @@ _supervised("svm")
 @query()
 def feature_importance(spark, sf):
     table = grid.vectors(spark, sf).drop("label")
-    return rounded(supervised.SupervisedClassifier("random_forest", n_estimators=10, max_depth=6).fit(table, grid.labelled(spark, sf)[0]).feature_importance())
+    return rounded(supervised.SupervisedClassifier("random_forest").fit(table, grid.labelled(spark, sf)[0]).feature_importance())
 
 
 @query()
 def cross_validate(spark, sf):
     table = grid.vectors(spark, sf).drop("label")
-    found = supervised.cross_validate(supervised.SupervisedClassifier("random_forest", n_estimators=5, max_depth=5), table, grid.labelled(spark, sf)[0], cv=3)
+    found = supervised.cross_validate(supervised.SupervisedClassifier("random_forest"), table, grid.labelled(spark, sf)[0])
     return spark.createDataFrame([(found["mean_accuracy"], found["std_accuracy"], found["fold_scores"])], "mean_accuracy double, std_accuracy double, fold_scores array<double>")
 
 

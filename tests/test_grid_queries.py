@@ -59,3 +59,27 @@ def test_vectors_are_whole(spark, tmp_path):
 
 def test_importance_of_every_component(spark):
     assert {r["feature"] for r in QUERIES["feature_importance"](spark, SF).collect()} == {f"f{k}" for k in range(64)}
+
+
+def test_models_have_the_operators_defaults(spark, monkeypatch):
+    from terralith.operators import supervised, unsupervised
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, *_):
+        raise Fitted(self.params)
+
+    folds, dealt = [], supervised.stratified_folds
+    monkeypatch.setattr(supervised.SupervisedClassifier, "fit", fit)
+    monkeypatch.setattr(unsupervised.UnsupervisedClassifier, "fit", fit)
+    monkeypatch.setattr(supervised, "stratified_folds", lambda labels, cv=5: folds.append(cv) or dealt(labels, cv))
+    for name in ("random_forest", "feature_importance", "cross_validate"):
+        with pytest.raises(Fitted) as found:
+            QUERIES[name](spark, SF)
+        assert found.value.args[0] == {k: v[0] for k, v in supervised.SCHEMA["random_forest"].items()}
+    assert folds == [5]
+    for name in ("kmeans", "gmm"):
+        with pytest.raises(Fitted) as found:
+            QUERIES[name](spark, SF)
+        assert found.value.args[0]["n_init"] == unsupervised.SCHEMA[name]["n_init"][0]
