@@ -54,6 +54,40 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+#: A key with more than one in so many of all rows is hot. There are fewer than so many of them.
+PARTS = 4096
+
+
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], n: str = "n", total: int | None = None, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each of the keys and in n how many rows of many it has, about.
+
+    The rows of hot keys are dealt by the columns by to shares of about one PARTS-th of total (the sum of n, unless it
+    is given), so that no task gets more of them than of other keys. Each share meets a copy of one's row; all keys
+    together have fewer than PARTS copies more. Which keys are hot is broadcast, as there are fewer than PARTS. Null
+    keys meet nothing; how="left" keeps their rows, dealt by the columns by too. The result keeps n.
+    """
+    if total is None:
+        total = one.agg(F.sum(n)).first()[0]
+    total = max(int(total or 0), 1)
+    shares = F.when(F.col(n) * PARTS > total, F.ceil(F.col(n) * PARTS / total)).otherwise(1).cast("bigint")
+    hot = one.where(F.col(n) * PARTS > total).select(*keys, shares.alias("_shares"))
+    if len(set(many.columns) & {"_shares", "_share"}):
+        raise ValueError("_shares and _share are names of this join")
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    place = F.xxhash64(*by)
+    share = F.when(F.col("_shares").isNotNull(), F.pmod(place, F.col("_shares"))).when(missing, F.pmod(place, F.lit(PARTS))).otherwise(0)
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_share", share.cast("bigint")).drop("_shares")  # fewer than PARTS rows
+    copies = one.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)))
+    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of df, which rows of the same content share; columns with maps go by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(df[f"`{f.name}`"])) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else df[f"`{f.name}`"] for f in df.schema.fields])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]

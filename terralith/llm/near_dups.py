@@ -7,8 +7,9 @@ whose registers agree throughout a band meet in a bucket. What a link needs is d
 Equal sets are one class and take part once, by their least doc_id. Within a bucket each class is first
 compared to one hub only. Components of those links then leave only pairs of classes that no chain of links
 joins yet: the classes outside the largest component that meets a hub are held against all that meet it, block
-by block, where the collision-corrected estimate comes first and the full sets decide. No pairs are emitted but
-links that join two components, and no link between two components is passed over.
+by block. The collision-corrected estimate comes first, on registers alone; only the texts of classes with a likely
+partner in a block are sent, and the full sets decide. No pairs are emitted but links that join two components, and
+no link between two components is passed over.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import join_spread, remove, utf8, written
 from .components import components
 
 #: Registers in a band and bands: at a similarity of 0.8 no band agrees once in 300,000 pairs.
@@ -145,8 +146,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     Each pair takes b's text to a copy of a's; a copy serves at most about MEMBERS_AT_ONCE pairs.
     """
-    shares = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / MEMBERS_AT_ONCE) + 1).alias("shares"))
-    dealt = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b")
+    pairs = written(pairs, "pairs")
+    shares = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.floor(F.count(F.lit(1)) / MEMBERS_AT_ONCE) + 1).alias("shares"))
+    dealt = join_spread(pairs, shares, ["a"], ["b"]).select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b")
     hubs = shares.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), F.col("a").alias("b"))
     asked = dealt.withColumn("member", F.lit(1)).unionByName(hubs.withColumn("member", F.lit(0)))
     told = texts.select(F.col("id").alias("b"), "text").join(asked, "b").repartition("a", "share").sortWithinPartitions("a", "share", "member")
@@ -178,7 +180,8 @@ def _close_sizes(n: Column, m: Column, percent: int) -> Column:
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose estimate isn't far below the threshold."""
     own = classes.select("id", "n_shingles", "registers")
-    rows = pairs.join(own.toDF("a", "n", "ra"), "a").where(F.col("n") > 0).join(own.toDF("b", "m", "rb"), "b").where(_close_sizes(F.col("n"), F.col("m"), percent))
+    hubs = own.toDF("a", "n", "ra").join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("times")), "a")
+    rows = join_spread(pairs, hubs, ["a"], ["b"], "times", total=pairs.count()).join(own.toDF("b", "m", "rb"), "b").where(_close_sizes(F.col("n"), F.col("m"), percent))
     least = percent / 100 - ESTIMATE_SLACK
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,28 +233,33 @@ class _Apart:
             c = p
         return c
 
-    def against(self, others: list[tuple]) -> list[tuple[int, int]]:
-        """Links that join components, one for each two that they join. Rows: id, component, registers, text."""
-        if not self.rows or not others:
-            return []
+    def likely(self, others: list[tuple]) -> np.ndarray:
+        """Which of the rows and others, in different components, may be linked. Rows: id, component, n, registers."""
         if len(self.registers) != len(self.rows):
-            self.registers = np.stack([np.frombuffer(r[2], np.uint16) for r in self.rows])
-            self.sets = [shingle_set(r[3], self.size, self.memo) for r in self.rows]
-        theirs = np.stack([np.frombuffer(r[2], np.uint16) for r in others])
-        sets = [shingle_set(r[3], self.size, self.memo) for r in others]
+            self.registers = np.stack([np.frombuffer(r[3], np.uint16) for r in self.rows])
+        theirs = np.stack([np.frombuffer(r[3], np.uint16) for r in others])
         equal = np.zeros((len(self.rows), len(others)), np.int16)
         for k in range(REGISTERS):
             equal += self.registers[:, k, None] == theirs[None, :, k]
-        n, m = np.array([len(x) for x in self.sets], float)[:, None], np.array([len(x) for x in sets], float)[None]
+        n, m = np.array([r[2] for r in self.rows], float)[:, None], np.array([r[2] for r in others], float)[None]
         chance = collision(n, m)
-        likely = (equal / REGISTERS - chance) / (1 - chance) >= self.percent / 100 - ESTIMATE_SLACK
-        likely &= 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
-        likely &= np.array([self.root(r[1]) for r in self.rows])[:, None] != np.array([self.root(r[1]) for r in others])[None]
+        out = (equal / REGISTERS - chance) / (1 - chance) >= self.percent / 100 - ESTIMATE_SLACK
+        out &= 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        out &= np.array([self.root(r[1]) for r in self.rows])[:, None] != np.array([self.root(r[1]) for r in others])[None]
+        return out
+
+    def links(self, others: list[tuple]) -> list[tuple[int, int]]:
+        """Links that join components, one for each two that they join. Rows end with their text."""
+        likely = self.likely(others)
         a, b = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
         if not len(a):
             return []
-        common = _counts([self.sets[i] for i in a], [sets[j] for j in b])
-        linked = likely[np.ix_(a, b)] & (100 * common >= self.percent * (n[a] + m[:, b] - common))
+        if not hasattr(self, "sets"):
+            self.sets = [shingle_set(r[4], self.size, self.memo) for r in self.rows]
+        sets = [shingle_set(others[j][4], self.size, self.memo) for j in b]
+        n, m = np.array([len(self.sets[i]) for i in a])[:, None], np.array([len(x) for x in sets])[None]
+        common = _counts([self.sets[i] for i in a], sets)
+        linked = likely[np.ix_(a, b)] & (100 * common >= self.percent * (n + m - common))
         out = []
         for i, j in zip(*np.nonzero(linked), strict=True):
             x, y = self.rows[a[i]], others[b[j]]
@@ -262,39 +270,65 @@ class _Apart:
         return out
 
 
+def _by_block(batches: Iterator[pa.RecordBatch], names: list[str], apart, told) -> Iterator[list]:
+    """What told(held, waiting) gives for each part of each (hub, block, share). Rows: place, member, then names."""
+    at, held, waiting = None, apart(), []
+    for batch in batches:
+        out: list = []
+        columns = (batch.column(c).to_pylist() for c in ("hub", "block", "share", "member", *names))
+        for hub, block, share, member, *row in zip(*columns, strict=True):
+            if at != (hub, block, share):
+                out += told(held, waiting) if held.rows and waiting else []
+                at, held, waiting = (hub, block, share), apart(), []
+            (waiting if member else held.rows).append(tuple(row))
+            if len(waiting) >= 512:
+                out += told(held, waiting) if held.rows else []
+                waiting = []
+        yield out
+    yield told(held, waiting) if held.rows and waiting else []
+
+
 def _links_apart(clusters: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components within a cluster (hub, id, component): enough to join all that any link joins.
 
     The classes outside a cluster's largest component are held against all of the cluster, in parts: a task has at
-    most about OUTSIDE_AT_ONCE of the former in memory, and reads about MEMBERS_OF_TASK of the latter.
+    most about OUTSIDE_AT_ONCE of the former in memory, and reads about MEMBERS_OF_TASK of the latter. Registers go
+    to all parts first; texts go only to parts in which their class has a likely partner.
     """
     sizes = clusters.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.groupBy("hub").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = F.floor((F.col("all") - F.col("main.n")) / OUTSIDE_AT_ONCE) + 1
     shares = F.floor(F.col("all") / MEMBERS_OF_TASK) + 1
-    open_ = clusters.join(whole.select("hub", (-F.col("main.minus")).alias("main"), blocks.alias("blocks"), shares.alias("shares")), "hub")
+    whole = written(whole.select("hub", (-F.col("main.minus")).alias("main"), blocks.alias("blocks"), shares.alias("shares"), "all"), "open-clusters")
+    open_ = join_spread(clusters, whole, ["hub"], ["id"], "all")
     zero = F.lit(0).cast("bigint")
+    place = ["hub", "block", "share", "member"]
     outside = open_.where("component <> main").select("hub", "id", "component", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(zero, F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
     inside = open_.select("hub", "id", "component", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "shares").alias("share"), F.lit(1).alias("member"))
-    rows = outside.unionByName(inside).join(classes.select("id", "registers"), "id").join(texts, "id")
-    dealt = rows.repartition("hub", "block", "share").sortWithinPartitions("hub", "block", "share", "member")
+    rows = outside.unionByName(inside).join(classes.select("id", F.col("n_shingles").alias("n"), "registers"), "id")
+    dealt = lambda df: df.repartition("hub", "block", "share").sortWithinPartitions(*place)
+    names = ["id", "component", "n", "registers"]
+    apart = lambda: _Apart(size, percent)
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have a likely partner in their part, once or more."""
+
+        def told(held: _Apart, waiting: list[tuple]) -> list[tuple]:
+            likely = held.likely(waiting)
+            return [(*held.rows[i], 0) for i in np.flatnonzero(likely.any(axis=1))] + [(*waiting[j], 1) for j in np.flatnonzero(likely.any(axis=0))]
+
+        for out in _by_block(batches, [*names, "hub", "block", "share"], apart, told):
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [*names, *place])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, waiting, links = None, _Apart(size, percent), [], []
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("hub", "block", "share", "member", "id", "component", "registers"))
-            for hub, block, share, member, *row, text in zip(*columns, utf8(batch.column("text")), strict=True):
-                if at != (hub, block, share):
-                    links += held.against(waiting)
-                    at, held, waiting = (hub, block, share), _Apart(size, percent), []
-                (waiting if member else held.rows).append((*row, text))
-                if len(waiting) >= 512:
-                    links += held.against(waiting)
-                    waiting = []
-        links += held.against(waiting)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for links in _by_block(batches, [*names, "text"], apart, lambda held, waiting: held.links(waiting)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.select("hub", "block", "share", "member", "id", "component", "registers", "text").mapInArrow(compared, "a bigint, b bigint")
+    schema = "id bigint, component bigint, n bigint, registers binary, hub bigint, block bigint, share bigint, member int"
+    likely = written(dealt(rows).select(*place, *names).mapInArrow(hopeful, schema).dropDuplicates([*place, "id"]), "likely-apart")
+    return dealt(likely.join(texts, "id")).select(*place, *names, "text").mapInArrow(compared, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -308,28 +342,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     sketched = written(sketches(docs, size), "sketches")
     digest = ["hi", "lo", "n_shingles"]
-    heads = sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"))
-    ids = written(sketched.select("doc_id", *digest).join(heads, digest, "left"), "classes")
-    classes = sketched.join(heads.withColumnRenamed("id", "doc_id"), [*digest, "doc_id"]).dropDuplicates(["doc_id", *digest]).select(F.col("doc_id").alias("id"), "n_shingles", "registers")
+    heads = sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    some = join_spread(sketched.where("n_shingles > 0").select("doc_id", *digest), heads, digest, ["doc_id"], how="left").select("doc_id", *digest, "id")
+    ids = written(some.unionByName(sketched.where("n_shingles = 0").select("doc_id", *digest, F.lit(None).cast("bigint").alias("id"))), "classes")
+    classes = sketched.join(heads.select(*digest, F.col("id").alias("doc_id")), [*digest, "doc_id"]).dropDuplicates(["doc_id", *digest]).select(F.col("doc_id").alias("id"), "n_shingles", "registers")
+    classes = written(classes, "class-sketches")
     banded = _banded(classes)
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(banded.join(shared, "bucket"), "buckets")
+    members = written(join_spread(banded, shared, ["bucket"], ["id"]), "buckets")
 
     # the class that meets most others stands for its bucket; each class is compared to the hub it meets most often
     central = members.groupBy("id").agg(F.sum("n").alias("weight"))
     weighed = members.join(central, "id")
-    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("hub")).select("bucket", F.col("hub.weight").alias("hub_weight"), (-F.col("hub.minus")).alias("hub"))
-    often = members.join(hubs, "bucket").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times"), F.first("hub_weight").alias("w"))
-    first = often.groupBy("id").agg(F.max(F.struct("times", "w", "hub"))["hub"].alias("a")).select("a", F.col("id").alias("b"))
-    candidates = members.select("id").distinct()
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("hub"), F.max("n").alias("n"))
+    hubs = written(hubs.select("bucket", F.col("hub.weight").alias("w"), (-F.col("hub.minus")).alias("hub"), "n"), "hubs")
+    met = join_spread(members.select("bucket", "id"), hubs, ["bucket"], ["id"])
+    met = written(met.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times"), F.first("w").alias("w")), "meetings")
+    first = met.where("id <> hub").groupBy("id").agg(F.max(F.struct("times", "w", "hub"))["hub"].alias("a")).select("a", F.col("id").alias("b"))
+    candidates = met.select("id").distinct()
     texts = written(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(candidates.hint("shuffle_hash"), "id"), "candidates")
-    links = written(confirmed(_likely(first, classes, percent), texts, size, percent), "links-to-hubs")
+    links = written(confirmed(_likely(written(first, "first-pairs"), classes, percent), texts, size, percent), "links-to-hubs")
     part = components(links)
 
     # what still stands apart among the classes that meet a hub
-    clusters = members.join(hubs, "bucket").select("hub", "id").distinct().join(part, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+    clusters = met.select("hub", "id").join(part, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
     more = written(_links_apart(written(clusters, "clusters"), classes, texts, size, percent), "links-apart")
     final = components(links.union(more))
+    for done in (sketched, classes, members, met, texts):
+        remove(docs.sparkSession, done)
 
     out = ids.join(final, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
