@@ -3,7 +3,8 @@
 The ledger keeps postings, one row (shard, key, doc_id, delta) for each document that gained (+1) or lost
 (-1) a line key. Their sums are the exact reference counts, so that deleting documents undoes inserting
 them. The keys whose count reaches the threshold stand in cuckoo filters, one for each shard. A probe asks
-the filter first; only its hits, a few false ones among them, are looked up in the exact counts.
+the filter of its shard first; only its hits, a few false ones among them, are counted exactly. Filters are read by
+the tasks that probe them, a shard or a share of a shard in each, and never gathered in one place.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_folder, utf8
+from .common import SPACE, join_spread, shared_folder, utf8, written
 
 STRIPPED = SPACE.encode()
 POSTING = "shard int, hi bigint, lo bigint, doc_id bigint, delta int"
 FILTER = "shard int, n_keys bigint, slots binary"
+#: Postings of a shard that one task probes, about; a shard with more has several tasks, each with the filter.
+POSTINGS_AT_ONCE = 1 << 18
 
 
 class CuckooFilter:
@@ -130,13 +133,12 @@ class LineLedger:
     """Reference counts and filters in a folder that all executors share.
 
     root: the folder. min_chars, min_docs: keys of at least so many code points held by at least so many
-    documents are duplicates. shards: of keys and filters. filter_bytes: filters of at most so many bytes in
-    all are broadcast; beyond it the probe joins the exact counts by shuffle, with the same result.
+    documents are duplicates. shards: of keys and filters; a task holds one shard's filter, 2.4 bytes for each key.
     """
 
-    def __init__(self, spark: SparkSession, root: str, min_chars: int = 40, min_docs: int = 5, shards: int = 256, filter_bytes: int = 64 << 20) -> None:
+    def __init__(self, spark: SparkSession, root: str, min_chars: int = 40, min_docs: int = 5, shards: int = 256) -> None:
         self.spark, self.root = spark, root
-        self.min_chars, self.min_docs, self.shards, self.filter_bytes = min_chars, min_docs, shards, filter_bytes
+        self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
 
     # what the folder holds
     def postings(self) -> DataFrame:
@@ -236,28 +238,43 @@ class LineLedger:
             n += 1
         return n
 
+    def _probed(self) -> DataFrame:
+        """The postings whose keys their shard's filter holds."""
+        postings = self.postings()
+        # a row for each shard
+        shares = postings.groupBy("shard").agg((F.floor(F.count(F.lit(1)) / POSTINGS_AT_ONCE) + 1).cast("bigint").alias("shares"))
+        share = F.pmod(F.xxhash64("doc_id"), F.col("shares")).alias("share")
+        asked = postings.join(F.broadcast(shares), "shard").select("shard", share, F.lit(1).alias("asks"), "hi", "lo", "doc_id", "delta", F.lit(None).cast("binary").alias("slots"))
+        zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+        filters = self._filters(self._batches() - 1).join(F.broadcast(shares), "shard")
+        filters = filters.select("shard", F.explode(F.sequence(zero, F.col("shares") - 1)).alias("share"), F.lit(0).alias("asks"), none.alias("hi"), none.alias("lo"), none.alias("doc_id"), F.lit(0).alias("delta"), "slots")
+        dealt = asked.unionByName(filters).repartition("shard", "share").sortWithinPartitions("shard", "share", "asks")
+
+        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = -1, None
+            for b in batches:
+                shard, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy()
+                hit = np.zeros(len(b), bool)
+                # runs of rows of one shard, each filter before what asks it
+                cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(asks) != 0)) + 1
+                for first, end in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                    if first == end:
+                        continue
+                    if not asks[first]:
+                        at, held = shard[first], CuckooFilter.from_bytes(b.column("slots")[int(end) - 1].as_py())
+                    elif at == shard[first]:
+                        lo = b.column("lo").slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.int64).view("u8")
+                        hit[first:end] = held.contains(lo)
+                yield b.filter(pa.array(hit)).select(["shard", "hi", "lo", "doc_id", "delta"])
+
+        return dealt.mapInArrow(probed, POSTING)
+
     def duplicates(self) -> DataFrame:
         """hi, lo, doc_id of every posting whose line goes: a duplicate key in a document that isn't its last."""
-        filters = self._filters(self._batches() - 1)
-        held = self.postings().groupBy("shard", "hi", "lo", "doc_id").agg(F.sum("delta").alias("n")).where("n > 0").drop("n")
-        size = filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
-        if size <= self.filter_bytes:
-            slots = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in filters.collect()})
-
-            def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                shards = {k: CuckooFilter.from_bytes(v) for k, v in slots.value.items()}
-                for b in batches:
-                    shard, lo = b.column("shard").to_numpy(), b.column("lo").to_numpy().view("u8")
-                    hit = np.zeros(len(lo), bool)
-                    for k in np.unique(shard):
-                        if k in shards:
-                            own = shard == k
-                            hit[own] = shards[k].contains(lo[own])
-                    yield b.filter(pa.array(hit))
-
-            held = held.mapInArrow(probed, held.schema)
-        exact = self.refcounts().where(F.col("n_docs") >= self.min_docs)
-        return held.join(exact, ["shard", "hi", "lo"]).where("doc_id <> last_doc").select("hi", "lo", "doc_id")
+        net = self._probed().groupBy("shard", "hi", "lo", "doc_id").agg(F.sum("delta").alias("sum")).where("sum > 0").drop("sum")
+        held = written(net, "line-hits")
+        exact = held.groupBy("shard", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc")).where(F.col("n") >= self.min_docs)
+        return join_spread(held, exact, ["shard", "hi", "lo"], ["doc_id"]).where("doc_id <> last_doc").select("hi", "lo", "doc_id")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_sha256, kept_text for every row of docs, which the ledger holds.
@@ -265,8 +282,10 @@ class LineLedger:
         Null and empty texts are one empty line. Rows without a doc_id keep all their lines. A text whose
         lines are all dropped becomes empty. Other columns are not read.
         """
-        drops = self.duplicates().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drops"))
-        rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(drops, "doc_id", "left")
+        drops = self.duplicates().groupBy(F.col("doc_id").alias("of"), F.lit(0).alias("at")).agg(F.collect_list(F.struct("hi", "lo")).alias("drops"))
+        # rows without a doc_id meet nothing, and are spread
+        rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("doc_id", F.xxhash64("text")).alias("of"), F.col("doc_id").isNull().cast("int").alias("at"))
+        rows = rows.join(drops, ["of", "at"], "left").select("doc_id", "text", "drops")
         min_chars = self.min_chars
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from terralith.llm import common
+from terralith.llm import line_dedup as dedup
 from terralith.llm.common import shared_folder
 from terralith.llm.line_dedup import CuckooFilter, LineLedger, key_digest, line_dedup, line_key
 
@@ -37,8 +39,29 @@ def test_against_brute_force(docs, texts):
     assert sum(k[2] * n for k, n in want.items()) > 10
 
 
-def test_without_the_broadcast(docs, texts):
-    assert result(line_dedup(docs, 40, 3, filter_bytes=-1)) == brute(texts, 40, 3)
+def test_hot_shards_and_keys(docs, texts, monkeypatch):
+    """Shards probed by many tasks, and keys dealt to many shares, give the same."""
+    monkeypatch.setattr(dedup, "POSTINGS_AT_ONCE", 3)
+    monkeypatch.setattr(common, "PARTS", 50)
+    assert result(line_dedup(docs, 40, 3, shards=3)) == brute(texts, 40, 3)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "PARTS", 8)
+    many = [(k, i) for k, n in ((1, 90), (2, 6), (3, 1), (None, 20), (4, 2)) for i in range(n)]
+    one = [(1, "x", 90), (2, "y", 6), (3, "z", 1), (9, "w", 5)]
+    left, right = spark.createDataFrame(many, "k int, i int"), spark.createDataFrame(one, "k int, v string, n long")
+    value = {k: v for k, v, _ in one}
+    for how in ("inner", "left"):
+        got = Counter((r["k"], r["i"], r["v"]) for r in common.join_spread(left, right, ["k"], ["i"], how=how).collect())
+        assert got == Counter((k, i, value.get(k)) for k, i in many if how == "left" or k in value)
+    assert common.join_spread(left, right.limit(0), ["k"], ["i"]).count() == 0
+
+
+def test_row_hash_takes_maps(spark):
+    frame = spark.sql("SELECT 1 AS a, map('x', 1) AS m, map('y', array(map(1, 2))) AS n UNION ALL SELECT 1, map('x', 2), NULL UNION ALL SELECT 1, map('x', 1), map('y', array(map(1, 2)))")
+    got = [r[0] for r in frame.select(common.row_hash(frame)).collect()]
+    assert len(set(got)) == 2 and all(x is not None for x in got)
 
 
 def test_empty_and_unnamed(empty, unnamed):
