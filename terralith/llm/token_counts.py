@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import join_spread, text_or_empty, written
 
 #: Texts handed to the tokenizer at once: bounds the ids held in memory.
 TEXTS_AT_ONCE = 32
@@ -66,22 +66,30 @@ class TokenCountCache:
         """
         docs = docs.select("doc_id", text_or_empty().alias("text"))
         ids = written(docs.select("doc_id", content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes")), "token-ids")
+        held = ids.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("stands"))
         # one document stands for each content, so that copies of a hot text don't meet in one task
-        misses = ids.join(self.stored(), "digest", "left_anti").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("stands"))
-        found = docs.withColumns({"digest": content_digest(F.col("text")), "stands": F.coalesce("doc_id", F.lit(-(2**63)))})
-        found = found.join(misses.hint("shuffle_hash"), ["digest", "stands"])
+        misses = written(held.join(self.stored(), "digest", "left_anti").select("digest", "stands"), "token-misses")
+        texts = docs.withColumn("digest", content_digest(F.col("text")))
+        found = texts.join(misses.where("stands is not null").withColumnRenamed("stands", "doc_id").hint("shuffle_hash"), ["digest", "doc_id"]).select("digest", "text")
+        # contents that only rows without a doc_id have are made one before they move
+        unnamed = texts.where("doc_id is null").select("digest", "text").dropDuplicates(["digest"])
+        found = found.unionByName(unnamed.join(misses.where("stands is null").select("digest"), "digest", "left_semi"))
         tokenizer = self.tokenizer
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = tokenizer.loaded()
             for b in batches:
+                # rows that repeat a document come together
+                firsts = {d: i for i, d in enumerate(b.column("digest").to_pylist())}
+                b = b.take(pa.array(sorted(firsts.values()), pa.int64()))
                 n, text = [], b.column("text")
                 for i in range(0, len(text), TEXTS_AT_ONCE):
                     n += map(len, model.encode(text.slice(i, TEXTS_AT_ONCE).to_pylist(), num_threads=1))
                 yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-        found.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens bigint").write.mode("append").parquet(self.path)
-        return ids.join(self.stored(), "digest").select("doc_id", "n_bytes", "n_tokens")
+        found.mapInArrow(encode, "digest binary, n_tokens bigint").write.mode("append").parquet(self.path)
+        counted = held.select("digest", "n").join(self.stored(), "digest")
+        return join_spread(ids, counted, ["digest"], ["doc_id", "n_bytes"], total=ids.count()).select("doc_id", "n_bytes", "n_tokens")
 
 
 def token_counts(docs: DataFrame, cache_root: str, model_path: str, limit: int = 4096) -> DataFrame:
