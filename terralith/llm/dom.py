@@ -1,15 +1,21 @@
-"""Block elements of an HTML page with their text, as flat lists; forgiving about unclosed and cut-off markup."""
+"""Block elements of an HTML page with their text, as flat lists; forgiving about unclosed and cut-off markup.
+
+One pass from left to right, in time and memory in proportion to the page whatever it holds: no pattern gives back what
+it matched, and which elements are open is known by tag."""
 
 from __future__ import annotations
 
 import html
 import re
 
-TOKEN = re.compile(
-    r"""[^<]+|<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<(?=[a-zA-Z/!?]).*?(?:>|\Z)|<""",
-    re.DOTALL,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: A tag's name, and its next attribute, read as browsers read them: a quote only bounds a value right after "=".
+#: Nothing that these match is given back, so that a page takes time in proportion to its length.
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"""[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)("|\Z)|'([^']*+)('|\Z)|([^\s>]*+)))?+""")
+#: Text from a "<" on that starts no markup.
+LOOSE = re.compile(r"(?:<(?![a-zA-Z/!?])[^<]*+)++")
+#: Attributes whose words tell what an element is for.
+TELLING = {"class", "id", "role", "itemprop", "aria-label"}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements whose content is no markup, and those whose text is never shown.
@@ -37,6 +43,35 @@ ENDS = {
 NO_P = {"table", "td", "th", "caption", "button", "object", "template"}
 
 
+#: RAW elements end at their end tag only.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE) for t in RAW}
+
+
+def _skipped(source: str, at: int) -> int:
+    """Where markup that starts at "<" without being a tag ends: comments, declarations, or the page's end."""
+    if not source.startswith("<!--", at):
+        return source.find(">", at) + 1 or len(source)
+    if source.startswith((">", "->"), at + 4):  # comments that end at once
+        return source.index(">", at) + 1
+    end = source.find("-->", at + 4)
+    return end + 3 if end >= 0 else len(source)
+
+
+def _attributes(source: str, at: int) -> tuple[int, list[str], bool]:
+    """Where a tag ends (0 if the page ends first), the telling values among its attributes, and if it closes itself."""
+    told: list[str] = []
+    size = len(source)
+    while True:
+        m = ATTRIBUTE.match(source, at)
+        at = m.end()
+        if at < size and m[1] and m[1].lower() in TELLING and (value := m[2] or m[4] or m[6]):
+            told.append(value)
+        if at >= size:
+            return 0, told, False
+        if source[at] == ">":
+            return at + 1, told, source[at - 1] == "/" and not m[6]
+
+
 class Page:
     """tags, parents, words (of class, id and the like) by element in page order; runs: (element, text, characters
     inside links) for each piece of text between two block bounds, with white space made one space."""
@@ -45,6 +80,7 @@ class Page:
         self.tags, self.parents, self.words = ["#page"], [-1], [()]
         self.runs: list[tuple[int, str, int]] = []
         open_ = [0]
+        at_of: dict[str, list[int]] = {}  # the places of a tag's open elements in open_
         text: list[str] = []
         linked, hidden, in_link = 0, 0, False
 
@@ -61,34 +97,48 @@ class Page:
             """Ends the open elements from place to on."""
             nonlocal hidden, in_link
             for k in open_[to:]:
+                at_of[self.tags[k]].pop()
                 hidden -= self.tags[k] in HIDDEN
             del open_[to:]
             in_link = False
 
         def place(of: set[str], stop: set[str]) -> int:
-            for i in range(len(open_) - 1, 0, -1):
-                tag = self.tags[open_[i]]
-                if tag in of:
-                    return i
-                if tag in stop:
-                    break
-            return 0
-
-        at, match = 0, TOKEN.match
-        while m := match(source, at):
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                piece = m[0]
-                if not hidden and (piece[0] != "<" or piece == "<"):
-                    if "&" in piece:
-                        piece = html.unescape(piece)
-                    text.append(piece)
-                    if in_link:
-                        linked += len(piece)
+            """The place of the last open element of the first set, if none of the second is inside it; else 0."""
+            found = max((own[-1] for t in of if (own := at_of.get(t))), default=0)
+            return found if found and not any((own := at_of.get(t)) and own[-1] > found for t in stop if t not in of) else 0
+
+        def shown(piece: str) -> None:
+            nonlocal linked
+            if not hidden:
+                if "&" in piece:
+                    piece = html.unescape(piece)
+                text.append(piece)
+                if in_link:
+                    linked += len(piece)
+
+        at, size = 0, len(source)
+        while at < size:
+            if source[at] != "<":
+                end = source.find("<", at)
+                end = end if end >= 0 else size
+                shown(source[at:end])
+                at = end
+                continue
+            closing = source.startswith("</", at)
+            m = NAME.match(source, at + 1 + closing)
+            if not m:
+                if closing or source.startswith(("<!", "<?"), at):
+                    at = _skipped(source, at)
+                else:
+                    m = LOOSE.match(source, at)
+                    shown(m[0])
+                    at = m.end()
                 continue
-            tag = tag.lower()
-            if m[1]:
+            tag = m[0].lower()
+            at, told, alone = _attributes(source, m.end())
+            if not at:  # cut off: no tag
+                break
+            if closing:
                 if tag == "a":
                     in_link = False
                 elif tag in BLOCK and (i := place({tag}, set())):
@@ -112,15 +162,14 @@ class Page:
                 if tag not in HIDDEN and (i := place({"p"}, NO_P)):
                     close(i)
                 if tag not in ("html", "body") or not place({tag}, set()):
-                    attributes = m[3]
-                    words = tuple(w.lower() for a in ATTRIBUTE.finditer(attributes) for w in WORD.findall(a[2] or a[3] or a[4] or "")) if "=" in attributes else ()
                     self.tags.append(tag)
                     self.parents.append(open_[-1])
-                    self.words.append(words)
-                    if not attributes.endswith("/"):
+                    self.words.append(tuple(w.lower() for value in told for w in WORD.findall(value)))
+                    if not alone:
+                        at_of.setdefault(tag, []).append(len(open_))
                         open_.append(len(self.tags) - 1)
                         hidden += tag in HIDDEN
                         if tag in RAW:
-                            end = re.compile(f"</{tag}", re.IGNORECASE).search(source, at)
-                            at = end.start() if end else len(source)
+                            end = RAW_END[tag].search(source, at)
+                            at = end.start() if end else size
         bound()

@@ -23,8 +23,9 @@ from .common import SPACE, join_spread, shared_folder, utf8, written
 STRIPPED = SPACE.encode()
 POSTING = "shard int, hi bigint, lo bigint, doc_id bigint, delta int"
 FILTER = "shard int, n_keys bigint, slots binary"
-#: Postings of a shard that one task probes, about; a shard with more has several tasks, each with the filter.
-POSTINGS_AT_ONCE = 1 << 18
+#: Postings that one group probes, about, at most, and a group's largest part of all shards' mean; a shard with more
+#: is several groups, each with the filter.
+POSTINGS_AT_ONCE, PART_OF_MEAN = 1 << 18, 2
 
 
 class CuckooFilter:
@@ -241,8 +242,9 @@ class LineLedger:
     def _probed(self) -> DataFrame:
         """The postings whose keys their shard's filter holds."""
         postings = self.postings()
+        most = max(1, min(POSTINGS_AT_ONCE, postings.count() // (self.shards * PART_OF_MEAN)))
         # a row for each shard
-        shares = postings.groupBy("shard").agg((F.floor(F.count(F.lit(1)) / POSTINGS_AT_ONCE) + 1).cast("bigint").alias("shares"))
+        shares = postings.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias("shares"))
         share = F.pmod(F.xxhash64("doc_id"), F.col("shares")).alias("share")
         asked = postings.join(F.broadcast(shares), "shard").select("shard", share, F.lit(1).alias("asks"), "hi", "lo", "doc_id", "delta", F.lit(None).cast("binary").alias("slots"))
         zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")

@@ -25,6 +25,8 @@ class Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.mains: set[str] = set()
+        #: On some pages names say nothing, and the tags that would are not used.
+        self.silent = {k: f"{self.r.choice(['css', 'x', 'sc', ''])}-{self.word()}{self.r.randint(0, 99)}" for k in WRAPPERS} if self.r.random() < 0.4 else {}
 
     def word(self) -> str:
         return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4)))
@@ -49,11 +51,13 @@ class Maker:
         return self.shown(text)
 
     def hint(self, kind: str) -> str:
+        if self.silent:
+            return f' class="{self.silent[kind]}"'
         name = self.r.choice(WRAPPERS[kind])
         return f' {self.r.choice(["class", "class", "id"])}="{name}"' if self.r.random() < 0.95 else f' class="{name} {self.word()}" id="{self.word()}"'
 
     def boxed(self, kind: str, tag: str, inner: str) -> str:
-        if tag and self.r.random() < 0.55:
+        if tag and self.r.random() < (0.15 if self.silent else 0.55):
             return f"<{tag}{self.hint(kind) if self.r.random() < 0.4 else ''}>{inner}</{tag}>"
         outer = self.r.choice(["div", "div", "section"])
         return f"<{outer}{self.hint(kind)}>{inner}</{outer}>"
@@ -65,8 +69,10 @@ class Maker:
         return self.r.choice([" | ", " ", "<br>"]).join(rows)
 
     def plain(self) -> str:
-        """Text without hints or links, as boxes outside the article hold it."""
+        """Text without hints or links, as boxes outside the article hold it; links where names say nothing."""
         text = self.shown(self.paragraph(3))
+        if self.silent:
+            text = f'<a href="/{self.word()}">{text}</a>'
         return f"<p>{text}</p>" if self.r.random() < 0.4 else text
 
     def box(self, kind: str) -> str:
@@ -91,7 +97,9 @@ class Maker:
             text = f"<p>{self.shown(self.paragraph(4))}</p>" if self.r.random() < 0.7 else self.shown(self.paragraph(3))
             who = f"<b>{self.word()}</b> " if self.r.random() < 0.3 else f"<h4>{self.word()}</h4>" if self.r.random() < 0.3 else ""
             tag = self.r.choice(["div", "li", "div", "article"])
-            rows.append(f'<{tag} class="{self.r.choice(["comment", "reply", "comment-body"])}">{who}{text}</{tag}>' if self.r.random() < 0.7 else f"<{tag}>{who}{text}</{tag}>")
+            rows.append(f'<{tag} class="{self.r.choice(["comment", "reply", "comment-body"])}">{who}{text}</{tag}>' if self.r.random() < 0.7 and not self.silent else f"<{tag}>{who}{text}</{tag}>")
+        if self.r.random() < 0.4:
+            rows.append(f"<form><textarea></textarea><button>{self.word()}</button></form>")
         return f"<{(t := self.r.choice(['section', 'div', 'ol', 'ul']))}{self.hint('comments')}>" + (f"<h3>{self.shown(self.phrase(1, 3))}</h3>" if self.r.random() < 0.6 else "") + "".join(rows) + f"</{t}>"
 
     def body(self) -> str:
@@ -111,14 +119,19 @@ class Maker:
                 out.append(f"<p><b>{self.main(self.paragraph(3))}<br>" + (f"<p>{self.main(self.sentence())}</p>" if r.random() < 0.7 else "</b></p>"))
             elif x < 0.76:
                 out.append(f"<h2>{self.main(self.phrase(1, 6).capitalize())}</h2>")
-            elif x < 0.82:
-                out.append("<ul>" + "".join(f"<li>{self.main(self.phrase(2, 12))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+            elif x < 0.83:
+                tag, whole, end = r.choice(["ul", "ol"]), r.random() < 0.5, "</li>" * (r.random() < 0.7)
+                out.append(f"<{tag}>" + "".join(f"<li>{self.main(self.paragraph(2) if whole else self.phrase(2, 12))}{end}" for _ in range(r.randint(2, 6))) + f"</{tag}>")
             elif x < 0.86:
                 out.append(f"<blockquote>{self.main(self.paragraph(2))}</blockquote>" if r.random() < 0.5 else f"<pre>{self.main(self.phrase(3, 9))}</pre>")
             elif x < 0.89:
                 out.append("<table>" + "".join(f"<tr><td>{self.main(self.phrase(1, 3))}</td><td>{self.main(self.phrase(1, 4))}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>")
             elif x < 0.92:
                 out.append(f"<div>{self.main(self.paragraph(4))}</div>")
+            elif x < 0.94:
+                out.append("<dl>" + "".join(f"<dt>{self.main(self.phrase(1, 3))}<dd>{self.main(self.paragraph(2))}" for _ in range(r.randint(1, 4))) + "</dl>")
+            elif x < 0.955:
+                out.append(f"<figure><img src=x.jpg><figcaption>{self.main(self.sentence())}</figcaption></figure>")
             else:
                 out.append(self.box(r.choice(["ad", "ad", "share", "form", "notice", "aside"])))
         return "".join(out)
@@ -141,6 +154,8 @@ class Maker:
             inner = f"<div{self.hint('main')}>{inner}</div>"
         elif x < 0.93:
             inner = f"<div>{inner}</div>"
+        if r.random() < 0.08:
+            return f"<html><body><table><tr><td>{''.join(before)}<td>{inner}<td>{''.join(after)}</table>"
         if r.random() < 0.25:
             inner = f'<div class="{r.choice(["wrapper", "container", "row", "page", self.word()])}">{inner}{self.box("aside") if r.random() < 0.4 else ""}</div>'
         if r.random() < 0.2:

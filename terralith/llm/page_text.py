@@ -20,7 +20,7 @@ from .dom import Page
 from .page_maker import made_pages
 
 #: Pages that the trees are trained on.
-TRAINING_PAGES = 800
+TRAINING_PAGES = 1200
 #: Words of class, id and role attributes, by what they hint at.
 HINTS = [
     ("nav", "nav navbar navigation menu menus topnav subnav breadcrumb breadcrumbs crumb crumbs pagination pager toc tabs skip"),
@@ -37,6 +37,7 @@ HINTS = [
 HINT_OF = {w: 1 << k for k, (_, words) in reversed(list(enumerate(HINTS))) for w in words.split()}
 TAGS = "nav header footer aside form article main section div p li ul ol h1 h2 h3 h4 h5 h6 table tr td th blockquote pre figure figcaption body html #page dl dt dd address details".split()
 TAG_OF = {t: k for k, t in enumerate(TAGS)}
+TITLES, CONTROLS = {"h1"}, {"form", "button", "textarea", "select", "fieldset"}
 
 
 def features(page: Page) -> np.ndarray:
@@ -55,7 +56,8 @@ def features(page: Page) -> np.ndarray:
         words[k] += text.count(" ") + 1
         runs[k] += 1
     parents = page.parents
-    sub = np.stack([own, linked, sentences, words, runs, np.ones(n)])
+    is_a = lambda tags: np.fromiter((t in tags for t in page.tags), float, n)
+    sub = np.stack([own, linked, sentences, words, runs, np.ones(n), is_a(TITLES), is_a({"p"}), is_a(CONTROLS)])
     hints = [0] * n
     above = [0] * n
     depth = [0] * n
@@ -77,13 +79,14 @@ def features(page: Page) -> np.ndarray:
     columns = sub.T.tolist()
     for k in range(n - 1, 0, -1):
         p, c = columns[parents[k]], columns[k]
-        for i in range(6):
+        for i in range(len(p)):
             p[i] += c[i]
         if start[k] >= 0 and (start[parents[k]] < 0 or start[parents[k]] > start[k]):
             start[parents[k]] = start[k]
     whole = np.asarray(columns)
     up = np.maximum(np.asarray(parents), 0)
-    text, link, dots, word, run, count = whole.T
+    text, link, dots, word, run, count, titles, paragraphs, controls = whole.T
+    over_up = up[up]
     hint, over = np.asarray(hints), np.asarray(above)
     chain = np.asarray(path, np.uint64)
     tag = np.asarray([TAG_OF.get(t, len(TAGS)) for t in page.tags])
@@ -107,6 +110,10 @@ def features(page: Page) -> np.ndarray:
         np.where(start < 0, 1.0, start / max(1.0, text[0])),
         np.log1p(count),
         np.log1p(own),
+        *(x for at in (up, over_up) for x in (link[at] / some[at], dots[at] / some[at] * 100, np.log1p(word[at] / np.maximum(run[at], 1)), np.log1p(text[at]), controls[at] / run.clip(1)[at], titles[at] > 0)),
+        paragraphs / count,
+        controls / np.maximum(run, 1),
+        titles > 0,
     ]
     return np.stack([np.asarray(x, np.float32) for x in out], axis=1)
 

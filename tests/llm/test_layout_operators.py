@@ -1,5 +1,6 @@
 """Mixing, sharding, page text, and the pipeline."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -17,6 +18,7 @@ from terralith.llm.mixing import in_order, mixed, schedule, smoothed_weights
 from terralith.llm.page_maker import made_pages
 from terralith.llm.page_text import decoded, extracted, features, main_text, trained
 from terralith.llm.sharding import CELLS, allotted, ring, ring_shards, row_bounds, sharded
+from tests.llm.other_pages import other_pages
 
 
 # mixing
@@ -110,6 +112,53 @@ def test_parsing():
     assert Page("").runs == [] and Page("<<<").runs
 
 
+LONG = 1_000_000
+BROKEN = {
+    "cut off in a value": "<a href=" + "x" * LONG,
+    "cut off in a quote": '<a href="' + "x" * LONG,
+    "cut off between attributes": "<a " + " " * LONG,
+    "stray quote": '<p title=x"' + "y" * LONG + ">text",
+    "stray quotes": "<p \"'" * (LONG // 5),
+    "names only": "<a b" * (LONG // 4) + ">",
+    "equal signs": "<a " + "= " * (LONG // 2),
+    "no end of a tag": "text " * (LONG // 5) + "<",
+    "brackets": "<" * LONG,
+    "comments cut off": "<!--" * (LONG // 4),
+    "scripts cut off": "<script></scrip" * (LONG // 15),
+    "references": "&#" * (LONG // 2),
+    "nested": "<div>" * 20_000 + "text",
+    "nested in a table in a paragraph": "<p><table>" + "<div>" * 20_000,
+    "end tags of nothing": "<p>" + "</div>" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_time_in_proportion(name):
+    began = time.process_time()
+    features(Page(BROKEN[name]))
+    assert time.process_time() - began < 4  # about 0.3 s where processors are fast
+
+
+def test_broken_pages_are_read_as_browsers_read_them():
+    text = lambda source: [t for _, t, _ in Page(source).runs]
+    assert text('<p title=x"y>one</p><p class=a"b id=\'>\'>two</p>') == ["one", "two"]
+    assert text("<p>one<div class='x") == ["one"] and text("<p>one</ >two<!>three<!-->four<!--->five") == ["one twothreefourfive".replace("one ", "one")]
+    assert text("a < b <3 <<p>c") == ["a < b <3 <", "c"]
+    assert text("<script>x</scripty>y</SCRIPT >z") == ["z"] and text("<p data-class=ad title='a>b'>x") == ["x"]
+    assert Page("<p data-class=ad id=main class='post entry'>x").words[1] == ("main", "post", "entry")
+
+
+def test_layouts_and_names_that_training_lacks():
+    """Pages of another generator: tables as layout, names in other languages, of style tools, or without meaning."""
+    trees, exact, wanted, missed, extra = trained(), 0, 0, 0, 0
+    for _, source, want in other_pages(120, seed=9):
+        page = Page(source)
+        got = [t for t in main_text(page, trees.log_odds(features(page))).split("\n") if t]
+        exact += got == want
+        wanted, missed, extra = wanted + len(want), missed + len(set(want) - set(got)), extra + len(set(got) - set(want))
+    assert exact >= 110 and missed + extra <= 0.02 * wanted
+
+
 def test_decoding_has_no_contradictions():
     page = Page("<div><p>a</p><div><p>b</p></div></div>")
     rng = np.random.default_rng(1)
