@@ -8,13 +8,14 @@ inside an occurrence of a window.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import join_spread, utf8, written
 
 #: Bytes 00-2F, 3A-60 and 7B-7F, once A-Z are lower-cased, separate words; the rest stay.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -25,11 +26,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items, by length, as word numbers."""
+    """The windows of some items, by length, as word numbers. Items without an id hit, but are not named."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int) -> None:
         self.number: dict[bytes, int] = {}
-        self.holders: dict[int, dict[bytes, set[str]]] = {}
+        self.holders: dict[int, dict[bytes, set[str | None]]] = {}
         for item, text in items:
             words = words_of(text)
             ids = np.asarray([self.number.setdefault(w, len(self.number)) for w in words], "<i4")
@@ -51,7 +52,7 @@ class Windows:
                     if own := windows.get(ids[i : i + size].tobytes()):
                         hit[i : i + size] = True
                         items |= own
-        return hit, items
+        return hit, items - {None}
 
 
 def _runs(hit: np.ndarray) -> list[dict]:
@@ -62,7 +63,7 @@ def _runs(hit: np.ndarray) -> list[dict]:
 def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of at most most_words words, or of one longer item, read one after another."""
     block, n = [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
     for r in rows.toLocalIterator():
         text = bytes(r["text"])
         size = len(words_of(text))
@@ -81,34 +82,68 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most_words: int) -> tuple[DataFrame, str, str, str]:
-    """docs with three columns, and their names: words, spans and items."""
-    spark = docs.sparkSession
-    count, spans_, items_, text_ = (_fresh(docs, f"_{x}") for x in ("n", "spans", "items", "text"))
-    out = docs.withColumns({count: F.lit(0).cast("bigint"), spans_: F.lit(None).cast("array<struct<first:bigint,last:bigint>>"), items_: F.lit(None).cast("array<string>"), text_: F.col("text").cast("binary")})
-    for k, block in enumerate(_blocks(benchmark, most_words)):
-        windows = spark.sparkContext.broadcast((block, n))
-        schema = out.schema
-
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            found = Windows(*windows.value)
-            for b in batches:
-                counts, spans, items = [], [], []
-                for text, s, i in zip(utf8(b.column(text_)), b.column(spans_).to_pylist(), b.column(items_).to_pylist(), strict=True):
-                    words = words_of(text)
-                    hit, own = found.found(words)
-                    for x in s or ():
-                        hit[x["first"] : x["last"] + 1] = True
-                    counts.append(len(words))
+SPANS, ITEMS = "array<struct<first:bigint,last:bigint>>", "array<string>"
+
+
+def _hits_of(block: list, docs: DataFrame, n: int) -> DataFrame:
+    """digest (of a text), spans, items, n (rows) of the texts that a block of items hits, once for each text."""
+    windows = docs.sparkSession.sparkContext.broadcast((block, n))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Windows(*windows.value)
+        for b in batches:
+            which, spans, items = [], [], []
+            for i, text in enumerate(utf8(b.column("text"))):
+                hit, own = found.found(words_of(text))
+                if hit.any():
+                    which.append(i)
                     spans.append(_runs(hit))
-                    items.append(sorted(own.union(i or ())))
-                new = {count: pa.array(counts, pa.int64()), spans_: pa.array(spans, b.column(spans_).type), items_: pa.array(items, b.column(items_).type)}
-                yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+                    items.append(sorted(own))
+            types = (pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(which, pa.int64())), pa.array(spans, types[0]), pa.array(items, types[1])], ["digest", "spans", "items"])
+
+    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("digest"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(scan, f"digest string, spans {SPANS}, items {ITEMS}").groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most_words: int) -> tuple[DataFrame, str, str, str]:
+    """docs with three columns, and their names: words, spans and items.
+
+    All blocks but the last leave what they hit, by the digest of the text; the scan for the last one adds it up.
+    """
+    count, spans_, items_, text_, digest_ = (_fresh(docs, f"_{x}") for x in ("n", "spans", "items", "text", "digest"))
+    block, earlier = None, []
+    for following in _blocks(benchmark, most_words):
+        if block is not None:
+            earlier.append(written(_hits_of(block, docs, n), "benchmark-hits"))
+        block = following
+    out = docs.withColumns({count: F.lit(0).cast("bigint"), text_: F.col("text").cast("binary")})
+    if earlier:
+        both = reduce(DataFrame.unionByName, earlier).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias(spans_), F.flatten(F.collect_list("items")).alias(items_), F.max("n").alias(f"{count}_rows"))
+        # texts without words need no partner, and are spread
+        out = out.withColumn(digest_, F.when(F.length("text") > 0, F.md5(text_)))
+        out = join_spread(out, written(both.withColumnRenamed("digest", digest_), "benchmark-hits"), [digest_], ["doc_id"], f"{count}_rows", how="left").drop(digest_, f"{count}_rows")
+    else:
+        out = out.withColumns({spans_: F.lit(None).cast(SPANS), items_: F.lit(None).cast(ITEMS)})
+    windows = docs.sparkSession.sparkContext.broadcast((block, n))
+    out = out.select(*docs.columns, count, text_, spans_, items_)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Windows(*windows.value)
+        for b in batches:
+            counts, spans, items = [], [], []
+            for text, s, i in zip(utf8(b.column(text_)), b.column(spans_).to_pylist(), b.column(items_).to_pylist(), strict=True):
+                words = words_of(text)
+                hit, own = found.found(words)
+                for x in s or ():
+                    hit[x["first"] : x["last"] + 1] = True
+                counts.append(len(words))
+                spans.append(_runs(hit))
+                items.append(sorted(own.union(i or ())))
+            new = {count: pa.array(counts, pa.int64()), spans_: pa.array(spans, b.column(spans_).type), items_: pa.array(items, b.column(items_).type)}
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
 
-        if k:
-            out = written(out, "benchmark-hits")
-        out = out.mapInArrow(scan, schema)
-    return out.drop(text_), count, spans_, items_
+    return out.mapInArrow(scan, out.schema).drop(text_), count, spans_, items_
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 500_000) -> DataFrame:
@@ -116,8 +151,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 5
     columns of these names.
 
     The windows of a block of at most most_words benchmark words are broadcast; a larger benchmark is scanned
-    for block after block, and the spans found so far go along with each row, written between the blocks.
-    Null has no words. Items without an id or words are left out; repeated items count once.
+    for block after block, and each leaves the spans of the texts that it hits. Documents themselves are not written.
+    Null has no words. Windows of items without an id hit too, but items lists ids only; repeated items count once.
     """
     docs = docs.drop("n_words", "spans", "items")
     out, count, spans, items = _scanned(docs, benchmark, n, most_words)

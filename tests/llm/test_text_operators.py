@@ -220,15 +220,15 @@ def brute_report(text, items, n):
         for i in range(len(words) - size + 1):
             if size and tuple(words[i : i + size]) in windows:
                 hit |= set(range(i, i + size))
-                held.add(str(item))
+                held |= {str(item)} if item is not None else set()
     return len(words), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.fixture(scope="module")
 def benchmark(spark, texts):
     long = [t for _, t in texts if t and 200 < len(t) < 5000]
-    items = [(k, " ".join(t.split()[3:30])) for k, t in enumerate(long[:8])] + [(100, "changed"), (101, "The W1"), (102, None), (103, "--"), (104, long[0]), (100, "changed")]
-    return items, spark.createDataFrame([*items, (None, "w1")], "item_id bigint, text string")
+    items = [(k, " ".join(t.split()[3:30])) for k, t in enumerate(long[:8])] + [(100, "changed"), (101, "The W1"), (102, None), (103, "--"), (104, long[0]), (100, "changed"), (None, "of w1 a")]
+    return items, spark.createDataFrame(items, "item_id bigint, text string")
 
 
 def test_decontamination_against_brute_force(docs, texts, benchmark, empty, unnamed):
@@ -255,6 +255,7 @@ def test_cleaning(spark, docs, benchmark):
     out = cleaned(docs, frame)
     assert out.columns == docs.columns
     again = report(out, frame.where("item_id < 100"))
+    assert report(docs.where("doc_id < 0"), frame).count() == 0
     assert again.where("contaminated").count() == 0
     clean = report(docs, frame).where("not contaminated").select("doc_id")
     kept = out.join(clean, "doc_id").select("doc_id", "text", "n_chars")
