@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import table, written
+from terralith.llm.common import row_hash, table, written
 from terralith.llm.decontaminate import cleaned
 from terralith.llm.mixing import in_order, placed_rows
 from terralith.llm.near_dups import near_duplicates
@@ -41,8 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their slot in it, slots in the order of the mix."""
-    placed = placed_rows(docs.drop("shard", "slot")).select(F.col("row")["doc_id"].alias("doc_id"), "row", "mix_slot", "mix_place")
-    return slots_by(ring_shards(placed), "mix_slot", "mix_place").select("row.*", "shard", "slot")
+    docs = docs.drop("shard", "slot")
+    placed = placed_rows(docs).select(F.col("row")["doc_id"].alias("doc_id"), "row", "mix_slot", "mix_place")
+    return slots_by(ring_shards(placed, content=row_hash(docs, "row")), "mix_slot", "mix_place").select("row.*", "shard", "slot")
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shards)]

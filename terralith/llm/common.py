@@ -83,9 +83,16 @@ def join_spread(many: DataFrame, one: DataFrame, keys: list[str], by: list[str],
     return dealt.join(copies, [*keys, "_share"], how).drop("_share")
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns of df, which rows of the same content share; columns with maps go by their JSON."""
-    return F.xxhash64(*[F.to_json(F.struct(df[f"`{f.name}`"])) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else df[f"`{f.name}`"] for f in df.schema.fields])
+def row_hash(df: DataFrame, within: str = "") -> Column:
+    """A hash of all columns of df, or of a struct column within that has them as fields, which rows of the same
+    content share; columns with maps go by their JSON."""
+
+    def part(field) -> Column:
+        value = F.col(f"{within}.`{field.name}`" if within else f"`{field.name}`")
+        kind = field.dataType.simpleString()
+        return F.to_json(F.struct(value.alias("v"))) if "map<" in kind or "variant" in kind else value
+
+    return F.xxhash64(*map(part, df.schema.fields))
 
 
 def let(value: Column, body) -> Column:

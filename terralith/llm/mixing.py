@@ -4,7 +4,8 @@ The rows of each source, in an order of their own that a hash gives, are cut int
 of a total Q, block j of a source is released in slot floor(j Q / a) and due before slot ceil((j + 1) Q / a).
 In each slot the released block with the earliest deadline is taken. All deadlines are met, so after any slot
 each source is less than one block from its share. The schedule repeats every Q slots; one round of it, a table
-of Q rows whatever the input, is worked out by an aggregate over its slots and joined to the blocks.
+of Q rows whatever the input, is worked out by an aggregate over its slots and joined to the blocks. Sources of equal
+weight take turns, so that a slot looks at one source of each weight, of which there are at most about sqrt(2 Q).
 
 A source that has run out leaves its slots empty; the others keep their distances to their shares.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, row_hash
 
 #: Slots of a round that are dealt out by weight, beside one for each source.
 ROUND = 1000
@@ -32,30 +33,47 @@ def smoothed_weights(docs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("source", F.expr(f"1 + ({ROUND} * root) div total").alias("weight"))
 
 
+#: Slots whose picks are gathered in one array.
+SLOTS = 256
+
+
 def _picks(sources: Column) -> Column:
     """The number of the source taken in each slot of a round. sources: array<struct<source, weight>>."""
-    total = F.aggregate(sources, F.lit(0).cast("bigint"), lambda a, s: a + s["weight"])
+    weights = F.array_sort(F.array_distinct(F.transform(sources, lambda s: s["weight"])))
+    members = lambda w: F.filter(F.transform(sources, lambda s, i: F.when(s["weight"] == w, i)), lambda i: i.isNotNull())
+    classes = F.transform(weights, lambda w: F.struct(w.alias("weight"), members(w).alias("members")))
+    long = lambda x: F.lit(x).cast("bigint")
 
-    def scheduled(q: Column) -> Column:
-        start = F.struct(F.transform(sources, lambda s: F.lit(0).cast("bigint")).alias("done"), F.array().cast("array<int>").alias("picks"))
+    def scheduled(known: Column) -> Column:
+        of, q = known["classes"], known["q"]
+        none = F.array().cast("array<int>")
 
         def slot(state: Column, t: Column) -> Column:
-            def due(done: Column, i: Column) -> Column:
-                weight = F.get(sources, i)["weight"]
-                released = F.floor(done * q / weight) <= t
-                return F.when(released & (done < weight), F.struct(F.ceil((done + 1) * q / weight).alias("deadline"), i.alias("i")))
+            def due(done: Column, k: Column) -> Column:
+                """The deadline of the next job of a weight: its sources' jobs j in turn, then their jobs j + 1."""
+                own = F.get(of, k)
+                job, turn = F.floor(done / F.size(own["members"])), (done % F.size(own["members"])).cast("int")
+                released = F.floor(job * q / own["weight"]) <= t
+                return F.when(released & (job < own["weight"]), F.struct(F.ceil((job + 1) * q / own["weight"]).alias("deadline"), F.get(own["members"], turn).alias("i"), k.alias("k")))
 
             def taken(pick: Column) -> Column:
                 return F.struct(
-                    F.transform(state["done"], lambda d, i: F.when(i == pick["i"], d + 1).otherwise(d)).alias("done"),
+                    F.transform(state["done"], lambda d, k: F.when(k == pick["k"], d + 1).otherwise(d)).alias("done"),
                     F.concat(state["picks"], F.array(pick["i"])).alias("picks"),
                 )
 
             return let(F.array_min(F.transform(state["done"], due)), taken)
 
-        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), q - 1), start, slot, lambda s: s["picks"])
+        def stretch(state: Column, first: Column) -> Column:
+            slots = F.sequence(first, F.least(first + SLOTS, q) - 1)
+            inner = F.aggregate(slots, F.struct(state["done"].alias("done"), none.alias("picks")), slot)
+            return let(inner, lambda x: F.struct(x["done"].alias("done"), F.concat(state["all"], F.array(x["picks"])).alias("all")))
+
+        start = F.struct(F.transform(of, lambda c: long(0)).alias("done"), F.array().cast("array<array<int>>").alias("all"))
+        return F.aggregate(F.sequence(long(0), q - 1, long(SLOTS)), start, stretch, lambda s: F.flatten(s["all"]))
 
-    return let(total, scheduled)
+    total = F.aggregate(sources, long(0), lambda a, s: a + s["weight"])
+    return let(F.struct(classes.alias("classes"), total.alias("q")), scheduled)
 
 
 def schedule(weights: DataFrame) -> DataFrame:
@@ -70,9 +88,10 @@ def schedule(weights: DataFrame) -> DataFrame:
 
 def placed_rows(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs as a struct row, with their places in the mix."""
-    source, order = F.coalesce("source", F.lit("")), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    tie = row_hash(docs)
+    source, order = F.coalesce("source", F.lit("")), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), tie.cast("string"))))
     part = F.substring(order, 1, DIGITS)
-    keyed = docs.select(source.alias("source"), order.alias("order"), part.alias("part"), F.col("doc_id").alias("doc"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(source.alias("source"), order.alias("order"), part.alias("part"), F.col("doc_id").alias("doc"), tie.alias("tie"), F.struct(*docs.columns).alias("row"))
     sizes = docs.select(source.alias("source"), part.alias("part")).groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
     # at most 16^DIGITS numbers for each source
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -101,7 +120,8 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK)
 
     Read in the order of slot and place, every stretch has the target weights. No row is left out or repeated:
     rows of sources without a weight get the smallest weight of 1. A null source is the source '', whose name
-    stays null; a null doc_id is ordered as ''. Rows with equal doc_id are in order of all their columns' hash.
+    stays null; rows without a doc_id are ordered by a hash of all columns. Rows with equal doc_id are in the order of
+    that hash.
     """
     return placed_rows(docs.drop(*ADDED), weights, block).select("row.*", *ADDED)
 

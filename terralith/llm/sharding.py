@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import row_hash, text_or_empty
 
 #: Cells of the ring.
 CELLS = 1 << 16
@@ -78,19 +78,21 @@ def ring_cell(position: Column) -> Column:
     return F.shiftrightunsigned(position, 48).cast("int")
 
 
-def ring_shards(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataFrame:
+def ring_shards(docs: DataFrame, shards: int = 8, nodes: int = 128, content: Column | None = None) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard), in place of columns of these names.
 
-    A row's place on the ring is the hash of its doc_id, null included; rows of one place are ordered by
-    doc_id, then by the hash of all columns, so that a recomputed task deals them out alike. Copies of a text
-    have places of their own, so a large group of them is spread. An empty table gives no rows.
+    A row's place on the ring is the hash of its doc_id and its content (a hash of all columns, unless content is
+    given), so that rows without a doc_id, rows of one doc_id, and copies of a text are spread. Rows of one place are
+    ordered by doc_id and content, so that a recomputed task deals them out alike. Maps count by their JSON. An empty
+    table gives no rows.
     """
     docs = docs.drop("shard", "slot")
-    placed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    tie = row_hash(docs) if content is None else content
+    placed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), tie)
     counts = {r["cell"]: r["n"] for r in docs.select(ring_cell(placed).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranges = allotted(counts, shards, nodes, row_bounds(sum(counts.values()), shards))
     dealt = docs.sparkSession.createDataFrame(ranges, "of int, first bigint, end bigint, shard int, start bigint")
-    keyed = docs.select(placed.alias("position"), ring_cell(placed).alias("cell"), F.col("doc_id").alias("doc"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(placed.alias("position"), ring_cell(placed).alias("cell"), F.col("doc_id").alias("doc"), tie.alias("tie"), F.struct(*docs.columns).alias("row"))
     ranked = keyed.select("row", "cell", (F.row_number().over(Window.partitionBy("cell").orderBy("position", "doc", "tie")) - 1).alias("rank"))
     # at most one row for each cell and shard: of bounded size
     joined = ranked.join(F.broadcast(dealt), (F.col("cell") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
@@ -116,7 +118,8 @@ def slots_by(rows: DataFrame, major: str, minor: str) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text).
 
-    size is the text's UTF-8 bytes (null: none) plus 1. The law is "rows": counts at most one apart.
+    size is the text's UTF-8 bytes (null: none) plus 1. The law is "rows": counts at most one apart. A row's content is
+    its text: other columns are not read.
     """
     rows = docs.select("doc_id", (F.octet_length(text_or_empty()) + 1).cast("bigint").alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
     out = ring_shards(rows, shards, nodes)

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terralith.llm.boosting import Trees
+from terralith.llm.common import row_hash
 from terralith.llm.dom import Page
 from terralith.llm.mixing import in_order, mixed, schedule, smoothed_weights
 from terralith.llm.page_maker import made_pages
 from terralith.llm.page_text import decoded, extracted, features, main_text, trained
-from terralith.llm.sharding import CELLS, allotted, ring, ring_shards, row_bounds, sharded
+from terralith.llm.sharding import CELLS, allotted, ring, ring_cell, ring_shards, row_bounds, sharded
 from tests.llm.other_pages import other_pages
 
 
@@ -35,6 +36,61 @@ def test_schedule_keeps_every_source_within_a_block(spark, weights):
     assert done == {f"s{i}": w for i, w in enumerate(weights)}
 
 
+def test_schedule_of_many_sources(spark):
+    """Against a plain simulation, with equal weights and ties."""
+    rng = np.random.default_rng(11)
+    weights = {f"s{i:04d}": int(w) for i, w in enumerate([*rng.integers(1, 9, 300), 400, 3, 3])}
+    total, done, want = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(total):
+        due = [(-(-(d + 1) * total // w), s) for s, w in weights.items() if (d := done[s]) < w and d * total // w <= t]
+        pick = min(due)[1]
+        want.append((t, pick, done[pick]))
+        done[pick] += 1
+    frame = spark.createDataFrame(list(weights.items()), "source string, weight bigint")
+    assert sorted((r["slot"], r["source"], r["turn"]) for r in schedule(frame).collect()) == want
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None, f"text {i}", {"k": i % 50}) for i in range(400)] + [(7, f"text {i}", None) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>").withColumn("source", F.lit(None).cast("string"))
+    got = ring_shards(frame).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 600 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert frame.select(ring_cell(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), row_hash(frame)))).distinct().count() > 500
+    mix = mixed(frame, block=4).collect()
+    assert len({(r["mix_slot"], r["mix_place"]) for r in mix}) == 600
+
+
+def brute_ring(positions, shards, nodes):
+    """Shard of every row by walking the ring row by row: first all that find room at home, in order, then the rest."""
+    at = ring(shards, nodes)
+    bounds = row_bounds(len(positions), shards)
+    held, out, left = Counter(), {}, []
+    for key, cell in sorted(positions.items(), key=lambda x: (x[1], x[0])):
+        home = next((k for k, (c, _) in enumerate(at) if c >= cell), 0)
+        if held[at[home][1]] < bounds[at[home][1]]:
+            held[at[home][1]] += 1
+            out[key] = at[home][1]
+        else:
+            left.append((key, home))
+    for key, k in left:
+        while held[at[k % len(at)][1]] >= bounds[at[k % len(at)][1]]:
+            k += 1
+        held[at[k % len(at)][1]] += 1
+        out[key] = at[k % len(at)][1]
+    return out
+
+
+def test_shards_against_a_walk_around_the_ring(spark):
+    frame = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id % 700) AS text")
+    placed = F.xxhash64(F.col("doc_id").cast("string"), row_hash(frame))
+    order = {r["doc_id"]: (r["p"] & 2**64 - 1) >> 48 for r in frame.select("doc_id", placed.alias("p")).collect()}
+    ranks = {r["doc_id"]: r["p"] for r in frame.select("doc_id", placed.alias("p")).collect()}
+    positions = {(ranks[i], i): order[i] for i in order}
+    want = {i: s for (_, i), s in brute_ring(positions, 8, 128).items()}
+    assert {r["doc_id"]: r["shard"] for r in ring_shards(frame).collect()} == want
+
+
 def test_mix_keeps_all_rows_in_whole_blocks(spark, docs, empty):
     out = mixed(docs, block=4).collect()
     assert len(out) == docs.count()
