@@ -1,11 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates, DataFrame functions only.
 
-A text is cut into blocks of BLOCK words, each starting half a block after the one before, so that every
-template text of up to half a block lies whole in one of them. A block holds a template if it contains at
-least the threshold's share of the template's distinct words. Template words are ordered by how many
-documents of the table contain them, rarest first. A template that needs k of its n words can only be held by
-a block with one of its first n - k + 1 words (prefix), with k words of the templates (length), and whose first
-common word leaves enough words after it on both sides (position); what remains is counted in full.
+A text holds a template of n words if n of its consecutive words (or all, if it has fewer) contain at least the
+threshold's share of the template's distinct words, wherever they stand and however long the template is.
+
+For the join, a text is cut into blocks: for templates of up to S words, S a power of two, a block has 2 S words and
+the next one starts after S, so that all n consecutive words lie whole in one. Template words are ordered by how many
+documents of the table contain them, rarest first. A template that needs k of its d distinct words can only be held by
+a block with one of its first d - k + 1 words (prefix), with k words of the templates (length), and whose first common
+word leaves enough words after it on both sides (position). What remains is counted in full, and then window by
+window. Templates are tables that blocks are joined to; texts that repeat are joined once, by their digest.
 """
 
 from __future__ import annotations
@@ -13,35 +16,28 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty
+from .common import let, text_or_empty, written
+from .license_texts import TEMPLATES
 
 #: Between words, in the text with A-Z lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a block; the next one starts after half of them.
-BLOCK = 128
+#: Words from one block to the next, for the shortest templates.
+SHORTEST = 16
 
 #: The phrases of the contract and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices as their licenses give them.
-TEMPLATES = {
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "cc-by-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-}
-
 
 def template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[0-9a-z]+", text.lower())))
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def span(words: int) -> int:
+    """Words from one block to the next for a template of so many words: the least power of two that holds it."""
+    return max(SHORTEST, 1 << (words - 1).bit_length())
 
 
 def split_words(text: Column) -> Column:
@@ -54,44 +50,81 @@ def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     """All template words, those found in the fewest documents first; as many as the templates have, so of
     bounded size. Words found in none come first, ties in alphabetical order."""
     words = sorted({w for text in templates.values() for w in template_words(text)})
+    if not words:
+        return []
     held = F.array_intersect(F.array(*map(F.lit, words)), split_words(text_or_empty()))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     n = {r["word"]: r["n"] for r in counts.collect()}
     return sorted(words, key=lambda w: (n.get(w, 0), w))
 
 
-class Templates:
-    """Templates with their words in global order and what the filters need, as literal columns."""
+def template_tables(spark: SparkSession, templates: dict[str, str], order: list[str], threshold: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Template words (span, word, rank), templates by their prefix words (span, rank, j, label, own, size, need), and
+    the prefix words. own: the distinct words' ranks in order; j: the prefix word's place among them; size: words of
+    the template, repeats included."""
+    rank = {w: i for i, w in enumerate(order)}
+    words, prefixes, first = set(), [], set()
+    for label, text in sorted(templates.items()):
+        all_words = template_words(text)
+        own = sorted(rank[w] for w in set(all_words))
+        need = math.ceil(threshold * len(own) - 1e-9)
+        at = span(len(all_words))
+        words |= {(at, order[r], r) for r in own}
+        prefixes += [(at, r, j, label, own, len(all_words), need) for j, r in enumerate(own[: len(own) - need + 1])]
+        first |= {order[r] for r in own[: len(own) - need + 1]}
+    vocabulary = spark.createDataFrame(sorted(words), "span int, word string, rank int")
+    return vocabulary, spark.createDataFrame(prefixes, "span int, rank int, j int, label string, own array<int>, size int, need int"), sorted(first)
+
+
+def _most_in_a_window(places: Column, own: Column, size: Column) -> Column:
+    """The most distinct ranks of own that lie in size consecutive places. places: array<struct<rank, at>>, sorted.
+
+    A place is the first one of its rank in the windows that start after the place before it of that rank and after
+    its own place less size, up to its own place: those starts are marked, and the marks summed up.
+    """
+
+    def marked(mine: Column) -> Column:
+        def marks(x: Column, k: Column) -> Column:
+            before = F.get(mine, k - 1)
+            after = F.greatest(F.when(before["rank"] == x["rank"], before["at"]), x["at"] - size)
+            return F.array(F.struct((after + 1).alias("p"), F.lit(1).alias("more")), F.struct((x["at"] + 1).alias("p"), F.lit(-1).alias("more")))
 
-    def __init__(self, templates: dict[str, str], order: list[str], threshold: float) -> None:
-        rank = {w: i for i, w in enumerate(order)}
-        self.order, rows, self.prefixes = order, [], set()
-        for label, text in sorted(templates.items()):
-            words = sorted(template_words(text), key=rank.__getitem__)
-            need = math.ceil(threshold * len(words) - 1e-9)
-            prefix = words[: len(words) - need + 1]
-            self.prefixes |= set(prefix)
-            rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(need).alias("need")))
-        self.rows = F.array(*rows)
+        def step(state: Column, x: Column) -> Column:
+            now = state["now"] + x["more"]
+            return F.struct(now.alias("now"), F.greatest(state["best"], now).alias("best"))
 
-    def any_prefix(self, words: Column) -> Column:
-        return F.arrays_overlap(words, F.array(*map(F.lit, sorted(self.prefixes))))
+        # marks that end come before those that begin
+        events = F.array_sort(F.flatten(F.transform(mine, marks)))
+        return F.aggregate(events, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda s: s["best"])
 
-    def found(self, block: Column) -> Column:
-        """array<struct<label, share>> of the templates that a block of words holds."""
+    return let(F.filter(places, lambda x: F.array_contains(own, x["rank"])), marked)
 
-        def joined(own: Column) -> Column:
-            def may_hold(t: Column) -> Column:
-                # own and t.words are both in global order: what can follow their first common word bounds the overlap
-                first = F.array_intersect(t["prefix"], own)
-                left = lambda words: F.size(words) - F.array_position(words, first[0]).cast("int") + 1
-                return (F.size(own) >= t["need"]) & F.arrays_overlap(t["prefix"], own) & (F.least(left(t["words"]), left(own)) >= t["need"])
 
-            candidates = F.filter(self.rows, may_hold)
-            counted = F.transform(candidates, lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(t["words"], own)).alias("n"), t["need"].alias("need"), (F.size(F.array_intersect(t["words"], own)) / F.size(t["words"])).alias("share")))
-            return F.transform(F.filter(counted, lambda t: t["n"] >= t["need"]), lambda t: F.struct(t["label"].alias("label"), t["share"].alias("share")))
+def template_matches(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """digest (of the text), labels, share (the largest one) of the texts that hold templates, a row for each text.
 
-        return let(F.array_intersect(F.array(*map(F.lit, self.order)), block), joined)
+    A similarity join of blocks of words with templates, on prefix words.
+    """
+    spark = docs.sparkSession
+    vocabulary, prefixes, first = template_tables(spark, templates, word_order(docs, templates), threshold)
+    spans = sorted({span(len(template_words(t))) for t in templates.values()})
+    words = split_words(text_or_empty())
+    # texts without a prefix word hold no template
+    some = docs.where(F.arrays_overlap(words, F.array(*map(F.lit, first)).cast("array<string>")))
+    places = some.select(F.md5(text_or_empty().cast("binary")).alias("digest"), F.posexplode(words).alias("at", "word"))
+    ranked = places.join(F.broadcast(vocabulary), "word")  # as many rows as the templates have words
+    index = F.floor(F.col("at") / F.col("span")).cast("int")
+    dealt = ranked.select("digest", "span", "rank", "at", F.explode(F.when(index > 0, F.array(index - 1, index)).otherwise(F.array(index))).alias("block"))
+    blocks = dealt.groupBy("digest", "span", "block").agg(F.sort_array(F.collect_set("rank")).alias("held"), F.sort_array(F.collect_set(F.struct("rank", "at"))).alias("places"))
+    tokens = blocks.select("*", F.posexplode("held").alias("i", "rank"))
+    pairs = tokens.join(F.broadcast(prefixes), ["span", "rank"])  # as many rows as the templates have prefix words
+    likely = (F.size("held") >= F.col("need")) & (F.least(F.size("held") - F.col("i"), F.size("own") - F.col("j")) >= F.col("need"))
+    common = F.array_intersect("own", "held")
+    # a pair is counted where it meets first
+    full = pairs.where(likely).where((common[0] == F.col("rank")) & (F.size(common) >= F.col("need")))
+    counted = full.select("digest", "label", "need", F.size("own").alias("words"), _most_in_a_window(F.col("places"), F.col("own"), F.col("size")).alias("most"))
+    found = counted.where("most >= need").groupBy("digest").agg(F.sort_array(F.collect_set("label")).alias("held"), F.max(F.col("most") / F.col("words")).alias("share"))
+    return written(found, "licenses")
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -120,39 +153,28 @@ def _base(words: Column) -> Column:
 def license_scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text).
 
-    labels: of the phrases and of the templates that a block holds. score: the largest share of a template
-    found, 1 where a phrase stands, else 0. Null and empty texts have no words and no labels. Repeated rows
-    have a result each. Other columns are not read.
+    labels: of the phrases and of the templates (TEMPLATES unless given, by label) that the text holds. score: the
+    largest share of a template found, 1 where a phrase stands, else 0. Null and empty texts have no words and no
+    labels. Repeated rows have a result each. Templates without words are found nowhere. Other columns are not read.
     """
-    templates = TEMPLATES if templates is None else templates
-    known = Templates(templates, word_order(docs, templates), threshold)
+    templates = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if template_words(t)}
     none = F.array().cast("array<struct<label:string,at:bigint>>")
-    blank = F.array().cast("array<struct<label:string,share:double>>")
 
     def scanned(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(words) - BLOCK) / (BLOCK // 2)).cast("int")))
-        blocks = F.flatten(F.transform(starts, lambda b: known.found(F.slice(words, b * (BLOCK // 2) + 1, F.lit(BLOCK)))))
         marks = F.array(*[F.lit(p.split()[0]) for p in PHRASES])
-        return F.struct(
-            F.size(words).cast("bigint").alias("n_words"),
-            F.when(F.arrays_overlap(words, marks), _base(words)).otherwise(none).alias("base"),
-            F.when(known.any_prefix(words), blocks).otherwise(blank).alias("held"),
-        )
-
-    def labels(found: Column) -> Column:
-        return F.sort_array(F.array_distinct(F.transform(found, lambda x: x["label"])))
-
-    def result(s: Column) -> Column:
-        at = F.transform(s["base"], lambda x: x["at"])
-        return F.struct(
-            s["n_words"].alias("n_words"),
-            F.size(s["base"]).cast("bigint").alias("n_base"),
-            F.array_min(at).alias("first_word"),
-            F.array_max(at).alias("last_word"),
-            F.concat_ws(",", labels(s["base"])).alias("base_labels"),
-            F.concat_ws(",", F.sort_array(F.array_distinct(F.concat(labels(s["base"]), labels(s["held"]))))).alias("labels"),
-            F.when(F.size(s["base"]) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(s["held"], lambda x: x["share"])), F.lit(0.0))).alias("score"),
-        )
-
-    rows = docs.select("doc_id", let(let(split_words(text_or_empty()), scanned), result).alias("r"))
-    return rows.select("doc_id", "r.*")
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), F.when(F.arrays_overlap(words, marks), _base(words)).otherwise(none).alias("base"))
+
+    rows = docs.select("doc_id", F.md5(text_or_empty().cast("binary")).alias("digest"), let(split_words(text_or_empty()), scanned).alias("s"))
+    rows = rows.join(template_matches(docs, templates, threshold), "digest", "left") if templates else rows.withColumns({"held": F.lit(None).cast("array<string>"), "share": F.lit(None).cast("double")})
+    base, at = F.col("s.base"), F.transform("s.base", lambda x: x["at"])
+    labels = F.sort_array(F.array_distinct(F.transform(base, lambda x: x["label"])))
+    return rows.select(
+        "doc_id",
+        F.col("s.n_words").alias("n_words"),
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.concat_ws(",", labels).alias("base_labels"),
+        F.concat_ws(",", F.sort_array(F.array_union(labels, F.coalesce("held", F.array().cast("array<string>"))))).alias("labels"),
+        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+    )

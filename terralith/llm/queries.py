@@ -150,20 +150,22 @@ _WORD = _LOWER.format("coalesce(text, '')")
 
 
 def _op2() -> str:
-    from .license_scan import BLOCK, PHRASES, TEMPLATES, template_words
+    from .license_scan import PHRASES, TEMPLATES, template_words
 
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {quoted(template_words(t))})" for label, t in TEMPLATES.items())
+    templates = ", ".join(f"('{label}', {quoted(dict.fromkeys(template_words(t)))}, {len(template_words(t))})" for label, t in TEMPLATES.items())
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_WORD}, '{_WORD_8}') AS w FROM documents),
 phrases(p, label) AS (VALUES {phrases}),
-templates(label, t) AS (VALUES {templates}),
+templates(label, t, size) AS (VALUES {templates}),
 places AS (
   SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, phrases) WHERE w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(list_slice(w, b * {BLOCK // 2} + 1, b * {BLOCK // 2} + {BLOCK})) AS k FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - {BLOCK}) / {BLOCK // 2})) AS BIGINT) + 1)) AS b FROM d)),
-held AS (SELECT doc_id, label, len(list_intersect(t, k)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(t, k)) >= ceil(0.8 * len(t) - 1e-9)),
+likely AS (SELECT doc_id, w, label, t, size FROM (SELECT doc_id, w, list_distinct(w) AS k FROM d), templates WHERE len(list_intersect(t, k)) >= ceil(0.8 * len(t) - 1e-9)),
+own AS (SELECT doc_id, label, t, size, i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM likely) WHERE list_contains(t, w[i])),
+windows AS (SELECT a.doc_id, a.label, a.i, len(any_value(a.t)) AS n, count(DISTINCT b.word) AS common FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.label = b.label AND b.i >= a.i AND b.i < a.i + a.size GROUP BY 1, 2, 3),
+held AS (SELECT doc_id, label, max(common) / any_value(n) AS share FROM windows GROUP BY doc_id, label HAVING max(common) >= ceil(0.8 * any_value(n) - 1e-9)),
 found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM held) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM held GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

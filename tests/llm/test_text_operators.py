@@ -38,28 +38,57 @@ def test_license_phrases(spark):
         assert 0 <= r["score"] <= 1 and (r["score"] == 1) == bool(at)
 
 
+def brute_templates(text, templates):
+    """Labels, and the largest share, of the templates of which 4/5 of the distinct words lie in as many words as it has."""
+    words, labels, best = re.findall(WORD, (text or "").translate(LOWER)), set(), 0.0
+    for label, template in templates.items():
+        all_ = scan.template_words(template)
+        own = set(all_)
+        if not own or len(own & set(words)) < 0.8 * len(own) - 1e-9:
+            continue
+        most = max(len(own & set(words[i : i + len(all_)])) for i in range(max(1, len(words) - len(all_) + 1)))
+        if most >= 0.8 * len(own) - 1e-9:
+            labels.add(label)
+            best = max(best, most / len(own))
+    return labels, best
+
+
+def check_templates(rows_, got, templates):
+    for i, t in rows_:
+        labels, best = brute_templates(t, templates)
+        labels |= {x for x in got[i]["base_labels"].split(",") if x}
+        assert got[i]["labels"] == ",".join(sorted(labels)), i
+        assert got[i]["score"] == pytest.approx(1.0 if got[i]["n_base"] else best)
+
+
 def test_license_templates_against_brute_force(spark, docs, texts):
-    extra = [(900 + k, f"{'pad ' * k}{t} {'end ' * 50}") for k, t in enumerate(scan.TEMPLATES.values())]
-    extra += [(950, scan.TEMPLATES["bsd"].replace("forms", "shapes").replace("permitted", "")), (951, " ".join(scan.TEMPLATES["bsd"].split()[:9]))]
+    extra = [(900 + k, f"{'pad ' * k * 7}{t} {'end ' * 50}") for k, t in enumerate(scan.TEMPLATES.values())]
+    bsd = scan.TEMPLATES["bsd"]
+    extra += [(950, bsd.replace("forms", "shapes").replace("permitted", "")), (951, " ".join(bsd.split()[:9])), (952, " x x x ".join(bsd.split())), (953, bsd.replace(" ", " x ", 4))]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
     got = {r["doc_id"]: r for r in scan.license_scan(both).collect()}
-    for i, t in [*texts, *extra]:
-        words = re.findall(WORD, (t or "").lower())
-        labels = {x for x in got[i]["base_labels"].split(",") if x}
-        best = 0.0
-        for start in range(0, max(1, len(words)), scan.BLOCK // 2):
-            if start and start + scan.BLOCK // 2 >= len(words):
-                break
-            block = set(words[start : start + scan.BLOCK])
-            for label, template in scan.TEMPLATES.items():
-                own = scan.template_words(template)
-                share = len(block & set(own)) / len(own)
-                if len(block & set(own)) >= np.ceil(0.8 * len(own) - 1e-9):
-                    labels.add(label)
-                    best = max(best, share)
-        assert got[i]["labels"] == ",".join(sorted(labels)), i
-        assert got[i]["score"] == pytest.approx(1.0 if got[i]["n_base"] else best)
+    check_templates([*texts, *extra], got, scan.TEMPLATES)
+    assert all(label in got[900 + k]["labels"].split(",") for k, label in enumerate(scan.TEMPLATES)) and "bsd" not in got[952]["labels"]
     assert scan.license_scan(docs.limit(0)).count() == 0
+    assert scan.license_scan(docs, templates={"none": "--"}).count() == len(texts)
+
+
+def test_long_templates_at_any_place(spark):
+    rng = np.random.default_rng(2)
+    templates = {"long": " ".join(f"w{k}" for k in rng.integers(0, 150, 200)), "longer": " ".join(f"v{k}" for k in rng.integers(0, 900, 3000)), "word": "only"}
+    rows_ = [(k, "pad " * n + templates["long"] + " end" * 9) for k, n in enumerate((0, 1, 31, 32, 100, 199, 200, 255, 256, 300, 511))]
+    rows_ += [(50 + k, "pad " * n + templates["longer"]) for k, n in enumerate((0, 777, 4095))]
+    for k in range(30):  # with words changed, left out or put in, about the threshold
+        words = templates["long"].split()
+        for _ in range(int(rng.integers(10, 200))):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 2))] = ["other"] * int(rng.integers(0, 2))
+        rows_.append((100 + k, "pad " * int(rng.integers(0, 300)) + " ".join(words)))
+    rows_ += [(200, "none"), (201, "Only"), (202, " ".join(templates["longer"].split()[:2500]))]
+    got = {r["doc_id"]: r for r in scan.license_scan(spark.createDataFrame(rows_, "doc_id bigint, text string"), templates=templates).collect()}
+    check_templates(rows_, got, templates)
+    assert all(got[i]["labels"] == ("long" if i < 50 else "longer") and got[i]["score"] == 1 for i, _ in rows_[:14])
+    assert 3 < sum(got[100 + k]["labels"] == "long" for k in range(30)) < 30
 
 
 # repeats
