@@ -34,8 +34,6 @@ KEY = LENGTH - WINDOW + 1
 BLOOM_BITS, BLOOM_MOST = 12, 1 << 28
 #: Contexts of one key that a task compares; keys with more are compared by a shuffle of their strings.
 CONTEXTS_AT_ONCE = 4096
-#: Such keys that are broadcast, at 8 bytes each.
-LARGE_AT_ONCE = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -132,14 +130,17 @@ def _joint(keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 
 
 def _instance(joint: np.ndarray, doc: int, tag: int, first: np.ndarray) -> np.ndarray:
-    row = (doc * int(_MIX) + (tag & 0xFFFFFFFF)) & (1 << 64) - 1
+    row = (doc * int(_MIX) + tag) & (1 << 64) - 1
     return _mixed(joint ^ _mixed(first.astype(np.uint64) + np.uint64(row)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc (null as the least long), tag (a hash of the text: rows of one doc are told apart), text as bytes."""
+    """doc, named (whether that is the row's doc_id, or a hash of its text), tag, text as bytes.
+
+    tag is another hash of the text: rows of one doc are told apart by 64 bits, rows without a doc_id by 128.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.hash(text).alias("tag"), text.cast("binary").alias("text"))
+    return docs.select(F.coalesce("doc_id", F.xxhash64(text, F.lit(1))).alias("doc"), F.col("doc_id").isNotNull().alias("named"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -159,13 +160,13 @@ def _named(rows: DataFrame) -> DataFrame:
                         if (doc, tag, s) < (own[1], own[2], own[3]):
                             own[1:] = doc, tag, s
             key, context = (np.fromiter((k[i] for k in seen), np.int64, len(seen)) for i in (0, 1))
-            columns = [np.fromiter((v[i] for v in seen.values()), t, len(seen)) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
+            columns = [np.fromiter((v[i] for v in seen.values()), t, len(seen)) for i, t in enumerate((np.int64, np.int64, np.int64, np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, context, *columns)], ["key", "context", "n", "doc", "tag", "first"])
 
-    return rows.mapInArrow(positions, "key bigint, context bigint, n bigint, doc bigint, tag int, first int")
+    return rows.mapInArrow(positions, "key bigint, context bigint, n bigint, doc bigint, tag bigint, first int")
 
 
-FOUND = "key bigint, context bigint, doc bigint, tag int, at int, first int, last int, bytes binary"
+FOUND = "key bigint, context bigint, doc bigint, tag bigint, at int, first int, last int, bytes binary"
 
 
 def _asked(rows: DataFrame, twice: Bloom, asked: Bloom) -> DataFrame:
@@ -185,10 +186,10 @@ def _asked(rows: DataFrame, twice: Bloom, asked: Bloom) -> DataFrame:
                 sent = asked.contains(_instance(joint, doc, tag, first))
                 some = np.flatnonzero(sent | twice.contains(joint))
                 if len(some):
-                    for part, x in zip(parts, (keys[some].view(np.int64), contexts[some].view(np.int64), np.full(len(some), doc, np.int64), np.full(len(some), tag, np.int32), at[some], first[some], last[some]), strict=False):
+                    for part, x in zip(parts, (keys[some].view(np.int64), contexts[some].view(np.int64), np.full(len(some), doc, np.int64), np.full(len(some), tag, np.int64), at[some], first[some], last[some]), strict=False):
                         part.append(x)
                     parts[7] += [text[first[i] : last[i] + LENGTH] if sent[i] else None for i in some.tolist()]
-            types = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
+            types = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
             arrays = [pa.array(np.concatenate([np.zeros(0, t), *part]).astype(t)) for part, t in zip(parts, types, strict=False)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(parts[7], pa.binary())], ["key", "context", "doc", "tag", "at", "first", "last", "bytes"])
 
@@ -213,16 +214,14 @@ def _runs(b: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(own)), b.column("tag").take(pa.array(own)), pa.array(start[begin].astype(np.int32)), pa.array(start[end].astype(np.int32))], ["doc", "tag", "first", "last"])
 
 
-SPAN = "doc bigint, tag int, first int, last int"
+SPAN = "doc bigint, tag bigint, first int, last int"
 
 
 def _compared(contexts: DataFrame, known: DataFrame) -> DataFrame:
     """Spans of strings that occur in another row of their key. contexts: rows of FOUND, one for each context."""
     # keys of so many contexts that no task holds them: one for CONTEXTS_AT_ONCE contexts at most
     large = written(known.where(F.col("contexts") > CONTEXTS_AT_ONCE).select("key").distinct(), "large-keys")
-    n = large.count()
-    named = F.broadcast(large) if n <= LARGE_AT_ONCE else large
-    few = contexts.join(named, "key", "left_anti") if n else contexts
+    few = contexts.join(large, "key", "left_anti")
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -255,9 +254,7 @@ def _compared(contexts: DataFrame, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("doc").take(own), b.column("tag").take(own), pa.array(start.astype(np.int32))], ["h", "doc", "tag", "first"])
 
     near = few.repartition("key").sortWithinPartitions("key").mapInArrow(locally, SPAN)
-    if not n:
-        return near
-    each = contexts.join(named, "key", "left_semi").select(*contexts.columns).mapInArrow(strings, "h bigint, doc bigint, tag int, first int")
+    each = contexts.join(large, "key", "left_semi").select(*contexts.columns).mapInArrow(strings, "h bigint, doc bigint, tag bigint, first int")
     again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     return near.unionByName(each.join(again, "h").select("doc", "tag", "first", F.col("first").alias("last")))
 
@@ -276,7 +273,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 h = _joint(*(b.column(c).to_numpy().view(np.uint64) for c in ("key", "context")))
                 if instance:
                     doc, tag, first = (b.column(c).to_numpy() for c in ("doc", "tag", "first"))
-                    h = _mixed(h ^ _mixed(first.astype(np.uint64) + doc.view(np.uint64) * _MIX + tag.view(np.uint32).astype(np.uint64)))
+                    h = _mixed(h ^ _mixed(first.astype(np.uint64) + doc.view(np.uint64) * _MIX + tag.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
         return Bloom.of(df.select("key", "context", "rep.doc", "rep.tag", "rep.first").mapInArrow(hashed, "h bigint"), df.count())
@@ -317,7 +314,7 @@ def repeat_dedup(docs: DataFrame) -> DataFrame:
                 for x, v in zip(out, (len(text), removed, runs, hashlib.sha256(left).hexdigest(), left), strict=True):
                     x.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("named"), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["doc", "named", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
-    out = rows.select("doc", "text", "spans").mapInArrow(kept, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary")
-    return out.withColumn("doc_id", F.nullif(F.col("doc"), F.lit(-(2**63)))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
+    out = rows.select("doc", "named", "text", "spans").mapInArrow(kept, "doc bigint, named boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary")
+    return out.withColumn("doc_id", F.when(F.col("named"), F.col("doc"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")

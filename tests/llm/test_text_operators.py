@@ -134,6 +134,18 @@ def test_repeats_of_unnamed_and_nothing(empty, unnamed):
     assert got == {(None, 420): 420, (None, 0): 0, (5, 0): 0}
 
 
+def test_repeats_of_texts_under_one_id(spark):
+    """Texts under one doc_id, and without one, are told apart."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = noise(230)
+    texts = [noise(50) + passage + noise(300), noise(400), passage + noise(90), noise(77) + passage, noise(500), noise(300)]
+    ids = [7, 7, 7, None, None, None]
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    want = Counter((i, *x) for i, x in zip(ids, brute_repeats([t.encode() for t in texts]), strict=True))
+    assert rows(repeats.repeat_dedup(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 # quality rules
 def brute_quality(text):
     t = text or ""
