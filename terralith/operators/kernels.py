@@ -124,7 +124,7 @@ def absorbed(image: Array, labels: Array, least: int, most_distance: float | Non
             heapq.heappush(queue, (size[x], x))
     while (to[to] != to).any():
         to = to[to]
-    return numbered(to[labels])
+    return numbered(to[labels], nodata=0)
 
 
 def slic(image: Array, n_segments: int = 500, compactness: float = 10.0, sigma: float = 0.0, min_size_factor: float = 0.5, enforce_connectivity: bool = True, iterations: int = 10) -> Array:
@@ -245,17 +245,21 @@ def watershed(image: Array, markers: int = 500, compactness: float = 0.0, min_di
     return labels
 
 
-def shepherd(image: Array, num_clusters: int = 60, min_n_pxls: int = 100, dist_thres: float | str = "auto", sampling: int = 100, iterations: int = 200) -> Array:
+def shepherd(image: Array, num_clusters: int = 60, min_n_pxls: int = 100, dist_thres: float | str = "auto", sampling: int = 100, iterations: int = 200, valid: Array | None = None) -> Array:
     """k-means of the pixels' colours from fixed starts, connected pieces of its classes, then small pieces go to the
     neighbour of the nearest colour. Bands are scaled to 0 to 10000; "auto" takes the distance that the nearer half
-    of the class centres have to each other twice over. The centres are found on a share of the pixels."""
+    of the class centres have to each other twice over. The centres are found on a share of the pixels. Pixels that are
+    not valid have no part in centres, pieces or neighbours, only in the scale, and get 0."""
     image = image.astype(float)
     low, high = image.min(), image.max()
     scaled = np.floor((image - low) * (10000 / (high - low))) if high > low else image * 0
     bands, h, w = scaled.shape
     pixels = scaled.reshape(bands, -1).T
     share = max(1, 100 // max(1, sampling))
-    sample = pixels[::share]
+    valid = np.ones((h, w), bool) if valid is None else valid
+    if not valid.any():
+        return np.zeros((h, w), np.int32)
+    sample = pixels[valid.ravel()][::share]
     k = max(1, min(num_clusters, len(np.unique(sample, axis=0))))
     ends = np.stack([sample.min(0), sample.max(0)])
     centres = ends[0] + (ends[1] - ends[0]) * ((np.arange(k) + 0.5) / k)[:, None]
@@ -278,4 +282,5 @@ def shepherd(image: Array, num_clusters: int = 60, min_n_pxls: int = 100, dist_t
             most = 2 * float(np.median(gaps.min(1)))
     elif dist_thres is not None:
         most = float(dist_thres)
-    return absorbed(scaled, clumps(nearest(pixels).reshape(h, w)), min_n_pxls, most)
+    pieces = clumps(np.where(valid, nearest(pixels).reshape(h, w), -1))
+    return absorbed(scaled, numbered(np.where(valid, pieces, 0), nodata=0), min_n_pxls, most)

@@ -16,10 +16,28 @@ def point_samples(points: DataFrame, px: DataFrame, transform: Affine, class_col
     Points outside the image or on nodata have none; of several in a segment the one with the largest sample_ord
     counts. An equi-join on row and column.
     """
+    return _point_meetings(points, px, transform, class_column).drop("sample_ord")
+
+
+def _point_meetings(points: DataFrame, px: DataFrame, transform: Affine, class_column: str) -> DataFrame:
+    """As point_samples, with sample_ord."""
     row, col = grid_row_col(F.col("x"), F.col("y"), transform)
     at = points.select(F.col(class_column).cast("string").alias("class_label"), "sample_ord", row.alias("row"), col.alias("col"))
     met = at.join(px.where("segment_id > 0").select("row", "col", "segment_id"), ["row", "col"])
-    return met.groupBy("segment_id").agg(F.max_by("class_label", "sample_ord").alias("class_label"))
+    return _last(met)
+
+
+def _last(met: DataFrame) -> DataFrame:
+    """One row for each segment: of its last sample."""
+    last = met.groupBy("segment_id").agg(F.max(F.struct("sample_ord", "class_label")).alias("last"))
+    return last.select("segment_id", "last.class_label", "last.sample_ord")
+
+
+def all_samples(points: DataFrame, boxes: DataFrame, px: DataFrame, transform: Affine, class_column: str = "class") -> DataFrame:
+    """segment_id, class_label from points and boxes as one list in the order of sample_ord: the last sample that meets
+    a segment counts, whichever kind it is."""
+    at = (px, transform, class_column)
+    return _last(_box_meetings(boxes, *at).unionByName(_point_meetings(points, *at))).drop("sample_ord")
 
 
 def box_samples(boxes: DataFrame, px: DataFrame, transform: Affine, class_column: str = "class", cells: int = 64) -> DataFrame:
@@ -29,6 +47,11 @@ def box_samples(boxes: DataFrame, px: DataFrame, transform: Affine, class_column
     A range join by way of square cells: boxes are exploded to the cells of the image that they touch, pixels have
     one, and the equi-join's rows are then held against the bounds. The cells of a box are cut to the image's.
     """
+    return _box_meetings(boxes, px, transform, class_column, cells).drop("sample_ord")
+
+
+def _box_meetings(boxes: DataFrame, px: DataFrame, transform: Affine, class_column: str, cells: int = 64) -> DataFrame:
+    """As box_samples, with sample_ord."""
     corners = [grid_row_col(F.col(x), F.col(y), transform) for x in ("min_x", "max_x") for y in ("min_y", "max_y")]
     rows, cols = [r for r, _ in corners], [c for _, c in corners]
     own = px.where("segment_id > 0").select("row", "col", "segment_id")
@@ -40,8 +63,7 @@ def box_samples(boxes: DataFrame, px: DataFrame, transform: Affine, class_column
     cell = lambda low, high, most: F.sequence(F.floor(F.greatest(F.col(low), F.lit(0)) / cells), F.floor(F.least(F.col(high), F.col(most)) / cells))
     at = at.withColumn("cell_r", F.explode(cell("r0", "r1", "_rows"))).withColumn("cell_c", F.explode(cell("c0", "c1", "_cols")))
     dealt = own.withColumns({"cell_r": F.floor(F.col("row") / cells), "cell_c": F.floor(F.col("col") / cells)})
-    met = dealt.join(at, ["cell_r", "cell_c"]).where("row between r0 and r1 and col between c0 and c1")
-    return met.groupBy("segment_id").agg(F.max_by("class_label", "sample_ord").alias("class_label"))
+    return _last(dealt.join(at, ["cell_r", "cell_c"]).where("row between r0 and r1 and col between c0 and c1"))
 
 
 def polygon_samples(polygons: DataFrame, px: DataFrame, transform: Affine, class_column: str = "class") -> DataFrame:

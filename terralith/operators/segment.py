@@ -43,11 +43,13 @@ class Segmenter:
     def get_param_schema(self) -> dict:
         return {"type": "object", "properties": {k: {"type": t, "default": d, "description": s} for k, (d, t, s) in SCHEMA[self.method].items()}}
 
-    def kernel(self) -> Callable[[np.ndarray], np.ndarray]:
+    def kernel(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Labels of an image, given which pixels are valid; only shepherd leaves the others out of its segments."""
         params = dict(self.params)
         if self.method == "shepherd":
             params["min_n_pxls"] = params.pop("min_size") or params["min_n_pxls"] or 100
-        return lambda img, f=getattr(kernels, self.method): f(img, **params)
+            return lambda img, valid: kernels.shepherd(img, **params, valid=valid)
+        return lambda img, valid, f=getattr(kernels, self.method): f(img, **params)
 
     def segment(self, px: DataFrame, nodata_mask: Column | None = None) -> DataFrame:
         """px with segment_id from 1 on, 0 where the mask holds. Each image is one group: for images beyond what a
@@ -62,7 +64,7 @@ class Segmenter:
         def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
             labels, _ = _labels(pdf, bands, run)
             out = pdf[order].copy()
-            out["segment_id"] = np.where(pdf["_mask"].to_numpy(), 0, labels).astype("int32")
+            out["segment_id"] = labels.astype("int32")
             return out
 
         # one group for an image without a name
@@ -70,15 +72,18 @@ class Segmenter:
         return rows.groupBy(*(by or ["_all"])).applyInPandas(labelled, schema)
 
 
-def _labels(pdf: pd.DataFrame, bands: list[str], run: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
-    """The label of each row of pdf and the largest one. Places without a row are filled with the bands' means."""
+def _labels(pdf: pd.DataFrame, bands: list[str], run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
+    """The label of each row of pdf, 0 where _mask holds, and the largest one. Places without a row are filled with the
+    bands' means, and not valid."""
     r, c = pdf["row"].to_numpy() - pdf["row"].min(), pdf["col"].to_numpy() - pdf["col"].min()
     img = np.empty((len(bands), int(r.max()) + 1, int(c.max()) + 1))
     for k, b in enumerate(bands):
         values = np.nan_to_num(pdf[b].to_numpy(float, na_value=np.nan))
         img[k] = values.mean()
         img[k, r, c] = values
-    labels = run(img)[r, c]
+    valid = np.zeros(img.shape[1:], bool)
+    valid[r, c] = ~pdf["_mask"].to_numpy(bool)
+    labels = np.where(valid, run(img, valid), 0)[r, c]
     return labels, int(labels.max())
 
 
@@ -147,12 +152,13 @@ def stitched(tiled: DataFrame, tile_size: int, overlap: int) -> DataFrame:
     return core.groupBy(*by, "row", "col").agg(F.max_by(value, seq).alias("segment_id"))
 
 
-def segment_tiled(px: DataFrame, method: str = "slic", tile_size: int = 2048, overlap: int = 128, **params) -> DataFrame:
-    """px with segment_id, found tile by tile: each tile is a group of its own, so an image of any size is spread.
-    Segments end at the seams of the cores."""
+def segment_tiled(px: DataFrame, method: str = "slic", tile_size: int = 2048, overlap: int = 128, nodata_mask: Column | None = None, **params) -> DataFrame:
+    """px with segment_id, 0 where the mask holds, found tile by tile: each tile is a group of its own, so an image of
+    any size is spread. Segments end at the seams of the cores."""
     bands, by = band_columns(px), image(px)
     run = create(method, **params).kernel()
-    tiled = tile_windows(px.select(*by, "row", "col", *bands), tile_size, overlap)
+    mask = F.lit(False) if nodata_mask is None else F.coalesce(nodata_mask, F.lit(False))
+    tiled = tile_windows(px.select(*by, "row", "col", *bands, mask.alias("_mask")), tile_size, overlap)
     types = {f.name: f.dataType.simpleString() for f in tiled.schema}
     names = [*by, "tile_row", "tile_col", "row_off", "col_off", "row", "col"]
 

@@ -86,6 +86,43 @@ def wkb(parts: list[list[list[tuple[float, float]]]]) -> bytes:
     return one(parts[0]) if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(one, parts))
 
 
+def wkb_rings(data: bytes) -> list[list[tuple[float, float]]]:
+    """All rings of a polygon or multipolygon as wkb() writes them."""
+    found, at, left = [], 0, 1
+    while left:
+        kind, n = struct.unpack_from("<xII", data, at)
+        at += 9
+        if kind == 6:
+            left = n
+            continue
+        for _ in range(n):
+            m = struct.unpack_from("<I", data, at)[0]
+            flat = struct.unpack_from(f"<{2 * m}d", data, at + 4)
+            found.append(list(zip(flat[::2], flat[1::2], strict=True)))
+            at += 4 + 16 * m
+        left -= 1
+    return found
+
+
+def measured(layer: DataFrame) -> DataFrame:
+    """layer with the area of its polygons (holes taken off), their number of rings, and min_x, max_x, min_y, max_y, in
+    place of the geometry."""
+    names = [c for c in layer.columns if c != "geometry"]
+    types = {f.name: f.dataType.simpleString() for f in layer.schema}
+
+    def measure(batches):
+        for pdf in batches:
+            rows = []
+            for data in pdf["geometry"]:
+                parts = wkb_rings(bytes(data))
+                xs, ys = zip(*(p for r in parts for p in r), strict=True)
+                signed = sum(x0 * y1 - x1 * y0 for r in parts for (x0, y0), (x1, y1) in zip(r, r[1:], strict=False)) / 2
+                rows.append((abs(signed), len(parts), min(xs), max(xs), min(ys), max(ys)))
+            yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows, columns=["area", "n_rings", "min_x", "max_x", "min_y", "max_y"])], axis=1)
+
+    return layer.mapInPandas(measure, ", ".join(f"{n} {types[n]}" for n in names) + ", area double, n_rings int, min_x double, max_x double, min_y double, max_y double")
+
+
 def vectorize(px: DataFrame, transform: tuple[float, float, float, float, float, float] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), srid: int = 0) -> DataFrame:
     """segment_id, geometry (WKB), srid: one row for each segment, its pieces over sides in one geometry. Python gets
     the outline only, whose length is that of the result."""

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import extract
-from ..operators.samples import box_samples, point_samples
+from ..operators.samples import all_samples
 from ..operators.segment import segment, segment_tiled
 from ..operators.supervised import ALGORITHMS as SUPERVISED
 from ..operators.supervised import classify
@@ -109,8 +109,8 @@ def run_classify(spark: SparkSession, a: argparse.Namespace) -> int:
             print("Supervised methods need --training and --segments", file=sys.stderr)
             return 1
         labels, meta = _labelled(spark, a.segments)
-        points, boxes = sample_geometries(read_vector(spark, a.training))
-        training = box_samples(boxes, labels, meta.transform).unionByName(point_samples(points, labels, meta.transform)).dropDuplicates(["segment_id"])
+        points, boxes = sample_geometries(read_vector(spark, a.training), srid=meta.srid)
+        training = all_samples(points, boxes, labels, meta.transform)
     params = {"n_clusters": a.n_clusters} if a.method == "kmeans" else {"n_estimators": a.n_estimators} if a.method in ("random_forest", "gradient_boosting") else {}
     found = classify(features, a.method, training, **params)
     if a.output.endswith(".gpkg"):

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..operators.features import EXTRACTORS, extract
 from ..operators.fuzzy import FuzzyClassifier
 from ..operators.labels import count_segments, image
-from ..operators.samples import box_samples, point_samples
-from ..operators.segment import SCHEMA, segment
+from ..operators.samples import all_samples
+from ..operators.segment import SCHEMA, segment, segment_tiled
 from ..operators.supervised import ALGORITHMS as SUPERVISED
 from ..operators.supervised import classify
 from ..operators.unsupervised import ALGORITHMS as UNSUPERVISED
@@ -25,6 +25,8 @@ from ..sources.vector import read_vector, sample_geometries, write_vector
 
 ORDER = ("segment", "extract", "classify")
 VERSION = "1.0"
+#: Pixels of the largest image that is segmented by one task; larger ones are cut into tiles.
+WHOLE = 1 << 24
 
 
 @dataclass
@@ -105,7 +107,10 @@ class Pipeline:
                     mask = F.lit(False)
                     for c in bands:
                         mask = mask | (F.col(c) == nodata)
-                result.labels = segment(px.drop("segment_id"), what or "slic", mask, **params).persist()
+                # what a task can't hold is cut into tiles
+                whole = result.meta is not None and result.meta.width * result.meta.height <= WHOLE or result.meta is None and px.count() <= WHOLE
+                found = segment(px.drop("segment_id"), what or "slic", mask, **params) if whole else segment_tiled(px.drop("segment_id"), what or "slic", nodata_mask=mask, **params)
+                result.labels = found.persist()
                 n = count_segments(result.labels).agg(F.sum("n_segments")).first()[0] or 0
                 done("segment", method=what, params=params, n_segments=n)
             elif kind == "extract":
@@ -119,9 +124,8 @@ class Pipeline:
                     raise ValueError("classify needs an extract step")
                 given = training
                 if isinstance(given, str):
-                    points, boxes = sample_geometries(read_vector(spark, given), class_column)
-                    at = (result.labels, result.meta.transform if result.meta else (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), class_column)
-                    given = box_samples(boxes, *at).unionByName(point_samples(points, *at)).dropDuplicates(["segment_id"])
+                    points, boxes = sample_geometries(read_vector(spark, given), class_column, result.meta.srid if result.meta else None)
+                    given = all_samples(points, boxes, result.labels, result.meta.transform if result.meta else (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), class_column)
                 result.predictions = classify(result.features, what or "kmeans", given, **params)
                 done("classify", method=what or "kmeans", params={k: v for k, v in params.items() if k != "rules"})
         return result

@@ -213,11 +213,11 @@ def texture_glcm(spark, sf):
     return rounded(texture.texture(grid.pixels(spark, sf, sheared=True), bands=[0]))
 
 
-@query(f"WITH {PX}, {_MEANS}, a AS (SELECT segment_id, count(*) AS size FROM px WHERE segment_id > 0 AND segment_id % 2 = 0 GROUP BY segment_id), b AS (SELECT segment_id, round(m0, 6) AS mean FROM m WHERE segment_id % 3 = 0) SELECT segment_id, size, mean FROM a FULL JOIN b USING (segment_id)")
+# labels of another grid have ids that these don't
+@query(f"WITH {PX}, {COARSE}, {_MEANS}, a AS (SELECT segment_id, count(*) AS size FROM coarse WHERE segment_id > 0 GROUP BY segment_id), b AS (SELECT segment_id, round(m0, 6) AS mean FROM m) SELECT segment_id, size, mean FROM a FULL JOIN b USING (segment_id)")
 def features_outer_merge(spark, sf):
-    px = grid.pixels(spark, sf)
-    sizes = labels.segment_sizes(px).where("segment_id % 2 = 0")
-    means = spectral.spectral(px, ratios=False).where("segment_id % 3 = 0").select("segment_id", F.round("mean_band_0", 6).alias("mean"))
+    sizes = labels.segment_sizes(grid.coarse_pixels(spark, sf))
+    means = spectral.spectral(grid.pixels(spark, sf), ratios=False).select("segment_id", F.round("mean_band_0", 6).alias("mean"))
     return features.merged([sizes, means])
 
 
@@ -373,7 +373,7 @@ def class_frequency(spark, sf):
     return explore.class_frequency(_classes(spark, sf))
 
 
-_PAIRS = "pairs AS (SELECT 'c' || label AS t, 'c' || ((label + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) % 11) AS p FROM embeddings WHERE vec_id % 9 <> 4)"
+_PAIRS = "pairs AS (SELECT 'c' || label AS t, 'c' || ((label + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) % 11) AS p FROM embeddings)"
 
 
 @query(f"WITH {_PAIRS}, c AS (SELECT DISTINCT t FROM pairs) SELECT a.t AS \"true\", b.t AS predicted, (SELECT count(*) FROM pairs WHERE pairs.t = a.t AND pairs.p = b.t) AS n FROM c a, c b")
@@ -422,9 +422,9 @@ def equal_interval(spark, sf):
     return explore.equal_intervals(_means(spark, sf), "mean_band_0")
 
 
-@query(f"WITH {PX}, {_MEANS}, {_FUZZY} SELECT segment_id, size, class_label FROM (SELECT segment_id, count(*) AS size FROM px WHERE segment_id > 0 GROUP BY 1) LEFT JOIN (SELECT * FROM classes WHERE segment_id % 2 = 0) USING (segment_id)")
+@query(f"WITH {PX}, {_MEANS}, {_FUZZY} SELECT segment_id, size, class_label FROM (SELECT segment_id, count(*) AS size FROM px WHERE segment_id > 0 GROUP BY 1) LEFT JOIN classes USING (segment_id)")
 def vector_attribute_join(spark, sf):
-    return vectorize.with_attributes(labels.segment_sizes(grid.pixels(spark, sf)), _classes(spark, sf).where("segment_id % 2 = 0"))
+    return vectorize.with_attributes(labels.segment_sizes(grid.pixels(spark, sf)), _classes(spark, sf))
 
 
 @query("SELECT 'c' || label AS class_label, round((SELECT count(*) FROM embeddings) / ((SELECT count(DISTINCT label) FROM embeddings) * count(*)), 6) AS weight FROM embeddings GROUP BY label")
@@ -528,15 +528,18 @@ _segmenter("shepherd", num_clusters=12, min_n_pxls=20)
 _segmenter("watershed", markers=60, min_distance=4)
 
 
-@query()
+# area and bounds of a segment's polygons follow from its pixels
+@query(f"WITH {SHEARED}, s AS (SELECT * FROM px WHERE segment_id > 0) SELECT segment_id, CAST(count(*) AS DOUBLE) AS area, CAST(min(col) AS DOUBLE) AS min_x, CAST(max(col) + 1 AS DOUBLE) AS max_x, CAST(-max(\"row\") - 1 AS DOUBLE) AS min_y, CAST(-min(\"row\") AS DOUBLE) AS max_y FROM s GROUP BY segment_id")
 def vectorized(spark, sf):
-    return vectorize.vectorize(grid.pixels(spark, sf, sheared=True), grid.TRANSFORM).select("segment_id", F.octet_length("geometry").alias("wkb_bytes"))
+    polygons = vectorize.vectorize(grid.pixels(spark, sf, sheared=True), grid.TRANSFORM)
+    return vectorize.measured(polygons).select("segment_id", "area", "min_x", "max_x", "min_y", "max_y")
 
 
 @query()
 def pipeline_e2e(spark, sf):
-    steps = [("extract", ["spectral", "geometry"], {}), ("classify", "kmeans", {"n_clusters": 4, "n_init": 1})]
-    return Pipeline(steps).run(grid.pixels(spark, sf)).predictions
+    """From pixels to classes: segments, features and clusters."""
+    steps = [("segment", "slic", {"n_segments": 500}), ("extract", ["spectral", "geometry"], {}), ("classify", "kmeans", {"n_clusters": 5})]
+    return Pipeline(steps).run(grid.pixels(spark, sf).drop("segment_id")).predictions
 
 
 @query(f"WITH {PX} SELECT segment_id FROM px WHERE \"row\" = 7 AND col = 23 AND segment_id > 0")

@@ -200,9 +200,15 @@ def write_vector(layer: DataFrame, path: str, **options) -> None:
         raise ValueError(f"Unknown vector format: {path}")
 
 
-def sample_geometries(layer: DataFrame, class_column: str = "class") -> tuple[DataFrame, DataFrame]:
-    """Points (x, y) and the boxes of all other geometries, with class and sample_ord, from a layer of samples."""
+def sample_geometries(layer: DataFrame, class_column: str = "class", srid: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points (x, y) and the boxes of all other geometries, with class and sample_ord, from a layer of samples.
+
+    srid: of the image that they are for. Samples are not reprojected: a layer whose own is known and another one is an
+    error.
+    """
     spark = layer.sparkSession
+    if srid and "srid" in layer.columns and (own := layer.where((F.col("srid") > 0) & (F.col("srid") != srid)).select("srid").first()):
+        raise ValueError(f"The samples are in EPSG:{own[0]}, the image in EPSG:{srid}; reproject them first")
     if class_column not in layer.columns:
         raise ValueError(f"No column {class_column!r} in the samples")
     points, boxes = [], []

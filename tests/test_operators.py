@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.functions.columns import as_uint8, grid_row_col, membership, scaled_10000
-from terralith.operators import accuracy, change, context, explore, features, fuzzy, geometry, hierarchy, labels, samples, segment, spectral, supervised, texture, unsupervised, vectorize
+from terralith.operators import accuracy, change, context, explore, features, fuzzy, geometry, hierarchy, kernels, labels, samples, segment, spectral, supervised, texture, unsupervised, vectorize
 
 RNG = np.random.RandomState(42)
 
@@ -445,3 +445,48 @@ def test_explore(spark):
 def test_scaling(spark):
     row = spark.range(1).select(scaled_10000(F.lit(0.5), F.lit(0.0), F.lit(1.0)).alias("a"), as_uint8(F.lit(0.5), F.lit(1.0)).alias("b"), as_uint8(F.lit(300.0), F.lit(900.0)).alias("c"), *(x.alias(n) for n, x in zip("rk", grid_row_col(F.lit(105.5), F.lit(194.5), (1, 0, 100, 0, -1, 200)), strict=True))).first()
     assert tuple(row) == (5000, 127, 255, 5, 5)
+
+
+def test_last_sample_counts_whatever_its_kind(spark, four):
+    _, _, px = four
+    at = (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
+    points = spark.createDataFrame([(2.5, -2.5, "point", 0), (12.5, -2.5, "point", 3)], "x double, y double, class string, sample_ord int")
+    boxes = spark.createDataFrame([(1.0, -4.0, 4.0, -1.0, "box", 1), (11.0, -4.0, 14.0, -1.0, "box", 2)], "min_x double, min_y double, max_x double, max_y double, class string, sample_ord int")
+    got = {r["segment_id"]: r["class_label"] for r in samples.all_samples(points, boxes, px, at).collect()}
+    assert got == {1: "box", 2: "point"}
+    assert samples.all_samples(points, boxes, px, at).columns == ["segment_id", "class_label"]
+
+
+def test_shepherd_leaves_nodata_out(spark):
+    img = np.zeros((1, 12, 12))
+    img[0, :, :6], img[0, :, 6:] = 10, 90
+    img[0, 5:7] = -50
+    valid = np.ones((12, 12), bool)
+    valid[5:7] = False
+    got = kernels.shepherd(img, 2, 4, None, valid=valid)
+    assert (got[5:7] == 0).all() and len(np.unique(got[valid])) == 4 and got.max() == 4
+    assert (kernels.shepherd(img, 2, 4, None, valid=valid & False) == 0).all()
+    px = relation(spark, np.ones((12, 12), int), img[0]).drop("segment_id")
+    for found in (segment.segment(px, "shepherd", F.col("b0") == -50, num_clusters=2, min_n_pxls=4, dist_thres=None), segment.segment_tiled(px, "shepherd", 64, 8, F.col("b0") == -50, num_clusters=2, min_n_pxls=4, dist_thres=None)):
+        assert {(r["row"], r["col"]): r["segment_id"] for r in found.collect()} == {(r, c): int(got[r, c]) for r in range(12) for c in range(12)}
+
+
+def test_polygons_are_as_large_as_their_pixels(spark):
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 4, (9, 9))
+    got = by_id(vectorize.measured(vectorize.vectorize(relation(spark, label), (2.0, 0.0, 0.0, 0.0, -2.0, 0.0))))
+    for k in (1, 2, 3):
+        r, c = np.nonzero(label == k)
+        assert got[k]["area"] == 4 * len(r) and (got[k]["min_x"], got[k]["max_x"], got[k]["min_y"], got[k]["max_y"]) == (2 * c.min(), 2 * c.max() + 2, -2 * r.max() - 2, -2 * r.min())
+    ring = np.ones((3, 3), int)
+    ring[1, 1] = 0
+    assert by_id(vectorize.measured(vectorize.vectorize(relation(spark, ring))))[1]["n_rings"] == 2
+
+
+def test_labels_and_predictions_without_a_partner(spark):
+    true = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (9, "b")], "segment_id int, class_label string")
+    found = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (7, "a")], "segment_id int, class_label string")
+    got = accuracy.overall(true, found).first()
+    assert got["n"] == 3 and got["overall_accuracy"] == pytest.approx(2 / 3)
+    merged = {r["segment_id"]: (r["x"], r["y"]) for r in features.merged([true.selectExpr("segment_id", "1 AS x"), found.selectExpr("segment_id", "2 AS y")]).collect()}
+    assert merged == {1: (1, 2), 2: (1, 2), 3: (1, 2), 9: (1, None), 7: (None, 2)}

@@ -2,6 +2,7 @@
 
 import json
 import re
+import struct
 from pathlib import Path
 
 import numpy as np
@@ -221,3 +222,10 @@ def test_nothing_imports_the_text_operators():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"\bllm\b", f.read_text()), f
+
+
+def test_samples_in_another_reference_system(spark):
+    layer = spark.createDataFrame([(struct.pack("<BIdd", 1, 1, 2.0, 3.0), "a", 4326)], "geometry binary, class string, srid int")
+    assert vector.sample_geometries(layer, srid=4326)[0].count() == 1 == vector.sample_geometries(layer)[0].count()
+    with pytest.raises(ValueError, match="EPSG:4326"):
+        vector.sample_geometries(layer, srid=32632)
