@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .labels import keys
-from .unsupervised import assembled, feature_columns
+from .unsupervised import FITS_AT_ONCE, assembled, feature_columns
 
 ALGORITHMS = ("random_forest", "svm", "gradient_boosting")
 #: name: (default, type, meaning) of each algorithm's parameters.
@@ -232,13 +233,16 @@ def stratified_folds(labels: DataFrame, cv: int = 5) -> DataFrame:
 def cross_validate(classifier: SupervisedClassifier, features: DataFrame, labels: DataFrame, cv: int = 5) -> dict:
     """mean_accuracy, std_accuracy (of the population) and fold_scores; support vectors are scaled within each fold."""
     folds = stratified_folds(labels.join(features.select("segment_id"), "segment_id"), cv).persist()
-    scores = []
+
+    def score(k: int) -> float:
+        fitted = SupervisedClassifier(classifier.algorithm, **classifier.params).fit(features, folds.where(F.col("fold") != k))
+        held = folds.where(F.col("fold") == k).select("segment_id", F.col("class_label").cast("string").alias("true"))
+        found = fitted.predict(features.join(held.select("segment_id"), "segment_id")).join(held, "segment_id")
+        return found.agg(F.avg((F.col("class_label") == F.col("true")).cast("double"))).first()[0] or 0.0
+
     try:
-        for k in range(cv):
-            fitted = SupervisedClassifier(classifier.algorithm, **classifier.params).fit(features, folds.where(F.col("fold") != k))
-            held = folds.where(F.col("fold") == k).select("segment_id", F.col("class_label").cast("string").alias("true"))
-            found = fitted.predict(features.join(held.select("segment_id"), "segment_id")).join(held, "segment_id")
-            scores.append(found.agg(F.avg((F.col("class_label") == F.col("true")).cast("double"))).first()[0] or 0.0)
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            scores = list(pool.map(score, range(cv)))
     finally:
         folds.unpersist()
     mean = sum(scores) / len(scores)

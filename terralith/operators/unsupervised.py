@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -146,6 +147,12 @@ def dbscan(features: DataFrame, eps: float, min_samples: int = 5, names: list[st
     return out.select("segment_id", F.coalesce("own", "cluster", F.lit(NOISE)).alias("cluster"))
 
 
+#: Fits whose jobs run at the same time: those of one fit are small, and wait for each other.
+FITS_AT_ONCE = 5
+#: Rows that a task of a fit takes at least.
+ROWS_OF_TASK = 20_000
+
+
 class UnsupervisedClassifier:
     """kmeans, gmm or dbscan. Clusters are numbered from 1 by their centres' first feature; k-means and mixtures take
     the features as they are, DBSCAN standardizes them."""
@@ -184,14 +191,18 @@ class UnsupervisedClassifier:
         try:
             if (n := rows.count()) < k:
                 raise ValueError(f"n_samples={n} should be >= n_clusters={k}")
-            runs = []
-            for i in range(max(1, p["n_init"])):
+            # every iteration is a job with a task for each partition: small tables need few
+            few = rows.coalesce(max(1, n // ROWS_OF_TASK))
+
+            def run(i: int) -> tuple:
                 if self.algorithm == "kmeans":
-                    m = KMeans(k=k, maxIter=p["max_iter"], seed=p["random_state"] + i, featuresCol="_x", predictionCol="_p", tol=1e-4).fit(rows)
-                    runs.append((m.summary.trainingCost, i, m, [c[0] for c in m.clusterCenters()]))
-                else:
-                    m = GaussianMixture(k=k, maxIter=p["max_iter"], seed=p["random_state"] + i, featuresCol="_x", predictionCol="_p", probabilityCol="_q").fit(rows)
-                    runs.append((-m.summary.logLikelihood, i, m, [r["mean"][0] for r in m.gaussiansDF.collect()]))
+                    m = KMeans(k=k, maxIter=p["max_iter"], seed=p["random_state"] + i, featuresCol="_x", predictionCol="_p", tol=1e-4).fit(few)
+                    return m.summary.trainingCost, i, m, [c[0] for c in m.clusterCenters()]
+                m = GaussianMixture(k=k, maxIter=p["max_iter"], seed=p["random_state"] + i, featuresCol="_x", predictionCol="_p", probabilityCol="_q").fit(few)
+                return -m.summary.logLikelihood, i, m, [r["mean"][0] for r in m.gaussiansDF.collect()]
+
+            with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+                runs = list(pool.map(run, range(max(1, p["n_init"]))))
             _, _, self.model, first = min(runs, key=lambda r: r[:2])
             self.order = [sorted(range(len(first)), key=first.__getitem__).index(j) for j in range(len(first))]
         finally:
