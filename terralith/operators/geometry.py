@@ -98,17 +98,17 @@ def hull_pixels(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> int:
 
 
 def solidity(px: DataFrame) -> DataFrame:
-    """Pixels of each segment over those of its convex hull. Python gets two numbers for each row of a segment."""
+    """Pixels of each segment over those of its convex hull. Python gets two numbers for each row of a segment, and
+    many segments at a time."""
     by = keys(px)
     spans = segments_of(px).groupBy(*by, "row").agg(F.min("col").alias("first"), F.max("col").alias("last"), F.count(F.lit(1)).alias("n"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema if f.name in by) + ", solidity double"
+    whole = spans.groupBy(*by).agg(F.collect_list(F.struct("row", "first", "last")).alias("spans"), F.sum("n").alias("n"))
 
-    def ratio(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[by].iloc[:1].copy()
-        out["solidity"] = pdf["n"].sum() / hull_pixels(pdf["row"].to_numpy(), pdf["first"].to_numpy(), pdf["last"].to_numpy())
-        return out
+    @F.pandas_udf("bigint")
+    def hulls(rows: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([hull_pixels(*x) for x in zip(rows, first, last, strict=True)], dtype="int64")
 
-    return spans.groupBy(*by).applyInPandas(ratio, schema)
+    return whole.select(*by, (F.col("n") / hulls(F.col("spans")["row"], F.col("spans")["first"], F.col("spans")["last"])).alias("solidity"))
 
 
 FEATURES = "area_px perimeter eccentricity solidity major_axis_length minor_axis_length orientation centroid_y centroid_x area compactness elongation rectangularity".split()

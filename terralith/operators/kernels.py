@@ -7,6 +7,7 @@ gaps. They are run for a tile at a time inside grouped pandas functions.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -33,14 +34,14 @@ class Sets:
     """Union-find over whole numbers; the least member stands for its set."""
 
     def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
+        self.parent = list(range(n))
 
     def root(self, x: int) -> int:
         p = self.parent
         while p[x] != x:
             p[x] = p[p[x]]
             x = p[x]
-        return int(x)
+        return x
 
     def join(self, a: int, b: int) -> int:
         a, b = self.root(a), self.root(b)
@@ -49,7 +50,7 @@ class Sets:
         return low
 
     def roots(self) -> Array:
-        p = self.parent
+        p = np.array(self.parent)
         while True:
             q = p[p]
             if (q == p).all():
@@ -66,16 +67,30 @@ def numbered(labels: Array, nodata: int | None = None) -> Array:
     return new[inverse].reshape(labels.shape).astype(np.int32)
 
 
+def least_linked(n: int, a: Array, b: Array) -> Array:
+    """The least of the whole numbers below n that each is linked with over the pairs (a, b), itself included."""
+    least = np.arange(n)
+    while len(a):
+        # the roots of each pair: the larger one goes to the smallest that it meets
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        apart = low != high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(least, high, low)
+        while True:
+            further = least[least]
+            if (further == least).all():
+                break
+            least = further
+    return least
+
+
 def clumps(classes: Array) -> Array:
     """Connected pieces, over sides, of pixels of one class, from 1 on."""
     h, w = classes.shape
     at = np.arange(h * w).reshape(h, w)
-    sets = Sets(h * w)
-    pairs = [(at[:, :-1][m], at[:, 1:][m]) for m in [classes[:, :-1] == classes[:, 1:]]] + [(at[:-1][m], at[1:][m]) for m in [classes[:-1] == classes[1:]]]
-    for a, b in pairs:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            sets.join(x, y)
-    return numbered(sets.roots().reshape(h, w))
+    across, down = classes[:, :-1] == classes[:, 1:], classes[:-1] == classes[1:]
+    a, b = np.concatenate([at[:, :-1][across], at[:-1][down]]), np.concatenate([at[:, 1:][across], at[1:][down]])
+    return numbered(least_linked(h * w, a, b).reshape(h, w))
 
 
 def touching(labels: Array) -> Array:
@@ -89,8 +104,9 @@ def absorbed(image: Array, labels: Array, least: int, most_distance: float | Non
     """Segments of fewer than least pixels, the smallest first, go to the neighbour with the nearest mean, if that
     isn't further than most_distance."""
     n = int(labels.max()) + 1
-    size = np.bincount(labels.ravel(), minlength=n).astype(float)
-    total = np.stack([np.bincount(labels.ravel(), band.ravel().astype(float), n) for band in image], 1)
+    # lists of numbers: most segments have a handful of neighbours, too few for arrays to pay
+    size = np.bincount(labels.ravel(), minlength=n).astype(float).tolist()
+    total = np.stack([np.bincount(labels.ravel(), band.ravel().astype(float), n) for band in image], 1).tolist()
     near: list[set[int]] = [set() for _ in range(n)]
     for a, b in touching(labels).tolist():
         near[a].add(b)
@@ -105,15 +121,15 @@ def absorbed(image: Array, labels: Array, least: int, most_distance: float | Non
         others = sorted(x for x in near[k] if x)
         if not others:
             continue
-        mean = total[k] / size[k]
-        distance = [float(np.sqrt(((total[x] / size[x] - mean) ** 2).sum())) for x in others]
-        best = int(np.argmin(distance))
-        if most_distance is not None and distance[best] > most_distance:
+        mean = [t / s for t in total[k]]
+        distance = [math.sqrt(sum((t / size[x] - m) ** 2 for t, m in zip(total[x], mean, strict=True))) for x in others]
+        nearest = min(distance)
+        if most_distance is not None and nearest > most_distance:
             continue
-        x = others[best]
+        x = others[distance.index(nearest)]
         to[k] = x
-        size[x] += size[k]
-        total[x] += total[k]
+        size[x] += s
+        total[x] = [t + u for t, u in zip(total[x], total[k], strict=True)]
         near[x] |= near[k]
         near[x] -= {x, k}
         for y in near[k]:
@@ -177,7 +193,7 @@ def felzenszwalb(image: Array, scale: float = 100.0, sigma: float = 0.8, min_siz
     b = np.concatenate([at[q].ravel() for _, q in cuts])
     cost = np.concatenate([np.sqrt(((image[(slice(None), *p)] - image[(slice(None), *q)]) ** 2).sum(0)).ravel() for p, q in cuts])
     order = np.argsort(cost, kind="stable")
-    sets, size, bound = Sets(h * w), np.ones(h * w, int), np.full(h * w, scale)
+    sets, size, bound = Sets(h * w), [1] * (h * w), [scale] * (h * w)
     edges = list(zip(a[order].tolist(), b[order].tolist(), cost[order].tolist(), strict=True))
     for x, y, c in edges:
         x, y = sets.root(x), sets.root(y)
@@ -265,7 +281,9 @@ def shepherd(image: Array, num_clusters: int = 60, min_n_pxls: int = 100, dist_t
     centres = ends[0] + (ends[1] - ends[0]) * ((np.arange(k) + 0.5) / k)[:, None]
 
     def nearest(x: Array) -> Array:
-        return np.concatenate([((part[:, None] - centres[None]) ** 2).sum(2).argmin(1) for part in np.array_split(x, max(1, len(x) * k // 2_000_000))])
+        # band by band, centres along the rows, so that sums run over long rows
+        parts = np.array_split(x.T, max(1, len(x) * k // 2_000_000), axis=1)
+        return np.concatenate([sum((part[b] - centres[:, b, None]) ** 2 for b in range(bands)).argmin(0) for part in parts])
 
     for _ in range(iterations):
         of = nearest(sample)
