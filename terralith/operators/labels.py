@@ -6,6 +6,8 @@ nodata: its pixels are rows, but it is never a segment.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def image(df: DataFrame) -> list[str]:
     return ["image_id"] if "image_id" in df.columns else []
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the session's checkpoint folder from then on. Only where none is set, as in
+    tests on one machine, a temporary folder is."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralith-"))
+    return df.checkpoint()
+
+
 def keys(df: DataFrame) -> list[str]:
     return [*image(df), "segment_id"]
 

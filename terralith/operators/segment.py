@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
 from .hierarchy import Hierarchy, Level, tile_label_offsets
-from .labels import count_segments, image
+from .labels import checkpointed, count_segments, image
 from .spectral import band_columns
 
 #: name: (default, JSON type, meaning) of each method's parameters.
@@ -69,7 +69,14 @@ class Segmenter:
 
         # one group for an image without a name
         rows = masked.select(*order, "_mask", F.lit(0).alias("_all"))
-        return rows.groupBy(*(by or ["_all"])).applyInPandas(labelled, schema)
+        return (_spread(rows, by) if by else rows).groupBy(*(by or ["_all"])).applyInPandas(labelled, schema)
+
+
+def _spread(px: DataFrame, keys: list[str]) -> DataFrame:
+    """px dealt out by keys to a set number of tasks. Kernels take far longer than the bytes of their pixels suggest,
+    so their groups must not be put together by size, as adaptive execution would."""
+    spark = px.sparkSession
+    return px.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def _labels(pdf: pd.DataFrame, bands: list[str], run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
@@ -136,11 +143,11 @@ def stitched(tiled: DataFrame, tile_size: int, overlap: int) -> DataFrame:
     """
     by, half = image(tiled), overlap // 2
     seq = tile_sequence(tiled)
-    of_tile = tiled.groupBy(*by, "tile_row", "tile_col").agg(F.max("max_label").alias("max_label")).withColumn("tile_seq", seq)
-    offsets = tile_label_offsets(of_tile).select(*by, "tile_row", "tile_col", "label_offset")
-    ends = tiled.groupBy(*by).agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
+    of_tile = tiled.groupBy(*by, "tile_row", "tile_col").agg(F.max("max_label").alias("max_label"), F.max("row").alias("_rows"), F.max("col").alias("_cols")).withColumn("tile_seq", seq)
+    whole = Window.partitionBy(*by or [F.lit(0)])
+    ends = {c: F.max(c).over(whole) for c in ("_rows", "_cols")}
+    offsets = tile_label_offsets(of_tile).withColumns(ends).select(*by, "tile_row", "tile_col", "label_offset", "_rows", "_cols")
     joined = tiled.join(offsets, [*by, "tile_row", "tile_col"])  # a row for each tile
-    joined = joined.join(F.broadcast(ends), by) if by else joined.join(F.broadcast(ends))
 
     def inside(x: str, off: str, last: str) -> Column:
         low = F.when(F.col(off) > 0, F.col(off) + half).otherwise(0)
@@ -154,7 +161,8 @@ def stitched(tiled: DataFrame, tile_size: int, overlap: int) -> DataFrame:
 
 def segment_tiled(px: DataFrame, method: str = "slic", tile_size: int = 2048, overlap: int = 128, nodata_mask: Column | None = None, **params) -> DataFrame:
     """px with segment_id, 0 where the mask holds, found tile by tile: each tile is a group of its own, so an image of
-    any size is spread. Segments end at the seams of the cores."""
+    any size is spread. Segments end at the seams of the cores. The tiles' labels are written to the checkpoint folder at
+    once, as numbering and stitching both read them."""
     bands, by = band_columns(px), image(px)
     run = create(method, **params).kernel()
     mask = F.lit(False) if nodata_mask is None else F.coalesce(nodata_mask, F.lit(False))
@@ -167,8 +175,9 @@ def segment_tiled(px: DataFrame, method: str = "slic", tile_size: int = 2048, ov
         labels, most = _labels(pdf, bands, run)
         return out.assign(label=labels.astype("int32"), max_label=np.int64(most))
 
-    labels = tiled.groupBy(*by, "tile_row", "tile_col").applyInPandas(labelled, ", ".join(f"{n} {types[n]}" for n in names) + ", label int, max_label bigint")
-    return px.drop("segment_id").join(stitched(labels, tile_size, overlap), [*by, "row", "col"])
+    tile = [*by, "tile_row", "tile_col"]
+    labels = _spread(tiled, tile).groupBy(*tile).applyInPandas(labelled, ", ".join(f"{n} {types[n]}" for n in names) + ", label int, max_label bigint")
+    return px.drop("segment_id").join(stitched(checkpointed(labels), tile_size, overlap), [*by, "row", "col"])
 
 
 def segment_multiscale(px: DataFrame, method: str = "slic", scales: list[dict | float] | None = None, nodata_mask: Column | None = None) -> Hierarchy:
@@ -194,7 +203,5 @@ def overlaid_masks(masks: DataFrame, min_area: int = 100) -> DataFrame:
     sizes = masks.groupBy("mask_id").agg(F.count(F.lit(1)).alias("area")).where(F.col("area") >= min_area)
     on_top = F.max(F.struct((-F.col("area")).alias("minus"), "mask_id"))["mask_id"]
     top = masks.join(sizes, "mask_id").groupBy("row", "col").agg(on_top.alias("mask_id"))
-    from pyspark.sql import Window
-
     order = sizes.select("mask_id", F.row_number().over(Window.orderBy(F.desc("area"), "mask_id")).alias("segment_id"))
     return top.join(order, "mask_id").select("row", "col", "segment_id")

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labels import keys
+from .labels import checkpointed, keys
 
 NOISE = 0
 ALGORITHMS = ("kmeans", "gmm", "dbscan")
@@ -115,18 +115,14 @@ def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     Labels are taken from neighbours, then from the label's own label, until none changes; each round is cut off by
     a checkpoint, so the plan doesn't grow.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terralith-"))
-    both = edges.where("a <> b").checkpoint()
-    labels = vertices.select("id", F.col("id").alias("component")).checkpoint()
+    both = checkpointed(edges.where("a <> b"))
+    labels = checkpointed(vertices.select("id", F.col("id").alias("component")))
     while True:
         seen = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("least"))
         nearer = labels.join(seen, "id", "left").select("id", F.least("component", F.coalesce("least", "component")).alias("next"), F.col("component").alias("before"))
         jump = nearer.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        after = nearer.join(jump, "next", "left").select("id", F.coalesce("far", "next").alias("component"), "before").checkpoint()
+        after = nearer.join(jump, "next", "left").select("id", F.coalesce("far", "next").alias("component"), "before")
+        after = checkpointed(after)
         if not after.where("component <> before").limit(1).count():
             return after.select("id", "component")
         labels = after.select("id", "component")

@@ -341,6 +341,43 @@ def test_segmenter_properties():
     assert (kernels.clumps(np.array([[1, 1, 2], [2, 1, 2], [1, 2, 2]])) == np.array([[1, 1, 2], [3, 1, 2], [4, 2, 2]])).all()
 
 
+def test_pieces_against_a_flood():
+    from terralith.operators import kernels
+
+    rng = np.random.default_rng(8)
+    for shape, classes in (((1, 1), 1), ((1, 30), 2), ((17, 23), 2), ((20, 20), 3), ((25, 12), 1)):
+        kind = rng.integers(0, classes, shape)
+        want, n = np.zeros(shape, int), 0
+        for start in np.ndindex(shape):
+            if want[start]:
+                continue
+            n, todo = n + 1, [start]
+            want[start] = n
+            while todo:
+                r, c = todo.pop()
+                for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                    if 0 <= y < shape[0] and 0 <= x < shape[1] and not want[y, x] and kind[y, x] == kind[r, c]:
+                        want[y, x] = n
+                        todo.append((y, x))
+        assert (kernels.clumps(kind) == want).all()
+    none = np.zeros(0, int)
+    assert (kernels.least_linked(3, none, none) == [0, 1, 2]).all()
+    assert (kernels.least_linked(6, np.array([5, 4, 3, 1]), np.array([4, 3, 5, 1])) == [0, 1, 2, 3, 3, 3]).all()
+
+
+def test_tiles_of_images_of_other_sizes(spark):
+    """Each image is stitched to its own ends, and its labels start from 1."""
+    from functools import reduce
+
+    sizes = {"wide": (20, 70), "high": (45, 20), "small": (5, 6)}
+    parts = [relation(spark, np.zeros(size, int), *two_halves(*size)).drop("segment_id").withColumn("image_id", F.lit(name)) for name, size in sizes.items()]
+    got = segment.segment_tiled(reduce(lambda a, b: a.unionByName(b), parts), "slic", tile_size=32, overlap=8, n_segments=9)
+    for name, (h, w) in sizes.items():
+        own = {(r["row"], r["col"]): r["segment_id"] for r in got.where(F.col("image_id") == name).collect()}
+        alone = {(r["row"], r["col"]): r["segment_id"] for r in segment.segment_tiled(parts[list(sizes).index(name)].drop("image_id"), "slic", tile_size=32, overlap=8, n_segments=9).collect()}
+        assert len(own) == h * w and min(own.values()) == 1 and own == alone
+
+
 def test_segmenter_factory():
     assert segment.create("SLIC", n_segments=5).get_params()["n_segments"] == 5 and "sam" in segment.list_methods()
     assert "scale" in segment.create("felzenszwalb").get_param_schema()["properties"]
