@@ -185,32 +185,33 @@ def context_features(spark, sf):
     return rounded(context.context(grid.pixels(spark, sf, sheared=True)), 5)
 
 
-_GLCM = """gray AS (
-  SELECT segment_id, "row", col, CAST(floor(greatest(0, least(31, (b0 - low) / (high - low) * 31))) AS INTEGER) AS g
-  FROM px, (SELECT min(b0) AS low, max(b0) AS high FROM px) WHERE segment_id > 0),
+_GLCM = """bands AS (SELECT segment_id, "row", col, unnest([0, 1, 2]) AS band, unnest([b0, b1, b2]) AS x FROM px),
+gray AS (
+  SELECT segment_id, "row", col, band, CAST(floor(greatest(0, least(31, (x - low) / (high - low) * 31))) AS INTEGER) AS g
+  FROM bands JOIN (SELECT band, min(x) AS low, max(x) AS high FROM bands GROUP BY band) USING (band) WHERE segment_id > 0),
 steps AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) AS t(pair, r, c)),
 one AS (
-  SELECT a.segment_id, pair, a.g AS i, b.g AS j, count(*) AS n
-  FROM gray a CROSS JOIN steps s JOIN gray b ON b.segment_id = a.segment_id AND b."row" = a."row" + s.r AND b.col = a.col + s.c GROUP BY ALL),
-both_ways AS (SELECT segment_id, pair, i, j, sum(n) AS n FROM (SELECT * FROM one UNION ALL SELECT segment_id, pair, j, i, n FROM one) GROUP BY ALL),
+  SELECT a.segment_id, a.band, pair, a.g AS i, b.g AS j, count(*) AS n
+  FROM gray a CROSS JOIN steps s JOIN gray b ON b.segment_id = a.segment_id AND b.band = a.band AND b."row" = a."row" + s.r AND b.col = a.col + s.c GROUP BY ALL),
+both_ways AS (SELECT segment_id, band, pair, i, j, sum(n) AS n FROM (SELECT * FROM one UNION ALL SELECT segment_id, band, pair, j, i, n FROM one) GROUP BY ALL),
 sums AS (
-  SELECT segment_id, pair, CAST(sum(n) AS DOUBLE) AS a, CAST(sum(n * (i - j) * (i - j)) AS DOUBLE) AS con, CAST(sum(n * abs(i - j)) AS DOUBLE) AS dis, sum(CAST(n AS DOUBLE) / (1 + (i - j) * (i - j))) AS hom,
+  SELECT segment_id, band, pair, CAST(sum(n) AS DOUBLE) AS a, CAST(sum(n * (i - j) * (i - j)) AS DOUBLE) AS con, CAST(sum(n * abs(i - j)) AS DOUBLE) AS dis, sum(CAST(n AS DOUBLE) / (1 + (i - j) * (i - j))) AS hom,
          CAST(sum(n * n) AS DOUBLE) AS en, CAST(sum(n * i) AS DOUBLE) AS si, CAST(sum(n * i * i) AS DOUBLE) AS sii, CAST(sum(n * i * j) AS DOUBLE) AS sij
   FROM both_ways GROUP BY ALL),
 v AS (
-  SELECT segment_id, pair, con / a AS contrast, dis / a AS dissimilarity, hom / a AS homogeneity, sqrt(en) / a AS energy,
+  SELECT segment_id, band, pair, con / a AS contrast, dis / a AS dissimilarity, hom / a AS homogeneity, sqrt(en) / a AS energy,
          CASE WHEN a * sii - si * si = 0 THEN 1 ELSE (a * sij - si * si) / (a * sii - si * si) END AS correlation FROM sums),
 sizes AS (SELECT segment_id, count(*) AS n FROM px WHERE segment_id > 0 GROUP BY segment_id)"""
 
 
-def _glcm_mean(p: str) -> str:
+def _glcm_mean(p: str, band: int) -> str:
     other = 1 if p == "correlation" else 0
-    return "round(CASE WHEN any_value(n) < 4 THEN 0 ELSE (" + " + ".join(f"coalesce(max({p}) FILTER (pair = {k}), {other})" for k in range(4)) + f") / 4 END, 6) AS glcm_{p}_b0"
+    return "round(CASE WHEN any_value(n) < 4 THEN 0 ELSE (" + " + ".join(f"coalesce(max({p}) FILTER (band = {band} AND pair = {k}), {other})" for k in range(4)) + f") / 4 END, 6) AS glcm_{p}_b{band}"
 
 
-@query(f"WITH {SHEARED}, {_GLCM} SELECT segment_id, {', '.join(map(_glcm_mean, texture.PROPERTIES))} FROM sizes LEFT JOIN v USING (segment_id) GROUP BY segment_id")
+@query(f"WITH {SHEARED}, {_GLCM} SELECT segment_id, {', '.join(_glcm_mean(p, b) for b in range(3) for p in texture.PROPERTIES)} FROM sizes LEFT JOIN v USING (segment_id) GROUP BY segment_id")
 def texture_glcm(spark, sf):
-    return rounded(texture.texture(grid.pixels(spark, sf, sheared=True), bands=[0]))
+    return rounded(texture.texture(grid.pixels(spark, sf, sheared=True)))
 
 
 # labels of another grid have ids that these don't
