@@ -112,10 +112,12 @@ def test_repeats_against_brute_force(docs, texts):
     assert sum(k[2] > 0 for k in want) > 5
 
 
-@pytest.mark.parametrize("at_once", [4096, 1])
-def test_repeats_at_every_offset(spark, monkeypatch, at_once):
-    """Passages of 199 to 260 bytes, alone and in periodic text, with either way of comparing contexts."""
+@pytest.mark.parametrize(("at_once", "bits"), [(4096, 1 << 28), (1, 1 << 28), (4096, 1)])
+def test_repeats_at_every_offset(spark, monkeypatch, at_once, bits):
+    """Passages of 199 to 260 bytes, alone and in periodic text, with either way of comparing contexts, and with filters
+    so full that nearly all positions pass."""
     monkeypatch.setattr(repeats, "CONTEXTS_AT_ONCE", at_once)
+    monkeypatch.setattr(repeats, "BLOOM_MOST", bits)
     rng = np.random.default_rng(5)
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     texts = []
