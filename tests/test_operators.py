@@ -527,3 +527,26 @@ def test_labels_and_predictions_without_a_partner(spark):
     assert got["n"] == 3 and got["overall_accuracy"] == pytest.approx(2 / 3)
     merged = {r["segment_id"]: (r["x"], r["y"]) for r in features.merged([true.selectExpr("segment_id", "1 AS x"), found.selectExpr("segment_id", "2 AS y")]).collect()}
     assert merged == {1: (1, 2), 2: (1, 2), 3: (1, 2), 9: (1, None), 7: (None, 2)}
+
+
+def copies(spark, n, copied, seed=3):
+    """Points with whole features, each of them copied times, and some of their own."""
+    rng = np.random.RandomState(seed)
+    x = np.concatenate([np.repeat(rng.randint(0, 40, (n, 2)), copied, axis=0), rng.randint(-30, 80, (n, 2))]).astype(float)
+    return x, spark.createDataFrame([(k + 1, *map(float, p)) for k, p in enumerate(x)], "segment_id int, x double, y double")
+
+
+def test_dbscan_of_copies(spark):
+    x, frame = copies(spark, 40, 5)
+    for eps, least in ((2.5, 4), (6.0, 12), (0.0, 3)):
+        got = {r["segment_id"]: r["cluster"] for r in unsupervised.dbscan(frame, eps, least).collect()}
+        assert [got[k + 1] for k in range(len(x))] == brute_dbscan(x, eps, least)
+
+
+def test_dbscan_links_cells_of_copies_once(spark, monkeypatch):
+    x, frame = copies(spark, 40, 20)
+    seen, connected = [], unsupervised.connected
+    monkeypatch.setattr(unsupervised, "connected", lambda edges, vertices: seen.append((edges.count(), vertices.count())) or connected(edges, vertices))
+    got = {r["segment_id"]: r["cluster"] for r in unsupervised.dbscan(frame, 6.0, 12).collect()}
+    assert [got[k + 1] for k in range(len(x))] == brute_dbscan(x, 6.0, 12)
+    assert seen[0][0] <= 24 * seen[0][1] and seen[0][1] <= 40  # not rows: 800 of them are copies
