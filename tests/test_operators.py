@@ -550,3 +550,10 @@ def test_dbscan_links_cells_of_copies_once(spark, monkeypatch):
     got = {r["segment_id"]: r["cluster"] for r in unsupervised.dbscan(frame, 6.0, 12).collect()}
     assert [got[k + 1] for k in range(len(x))] == brute_dbscan(x, 6.0, 12)
     assert seen[0][0] <= 24 * seen[0][1] and seen[0][1] <= 40  # not rows: 800 of them are copies
+
+
+def test_core_points_of_copies(spark):
+    x, frame = copies(spark, 40, 5)
+    want = (((x[:, None] - x[None]) ** 2).sum(2) <= 36).sum(1)
+    found = unsupervised.core_points(frame, 6.0, 12)
+    assert {r["segment_id"]: r["n_neighbors"] for r in found.collect()} == {k + 1: n for k, n in enumerate(want) if n >= 12}
