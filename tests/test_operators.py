@@ -557,3 +557,22 @@ def test_core_points_of_copies(spark):
     want = (((x[:, None] - x[None]) ** 2).sum(2) <= 36).sum(1)
     found = unsupervised.core_points(frame, 6.0, 12)
     assert {r["segment_id"]: r["n_neighbors"] for r in found.collect()} == {k + 1: n for k, n in enumerate(want) if n >= 12}
+
+
+def test_kth_distances_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(unsupervised, "BLOCK", 16)
+    x, frame = copies(spark, 40, 5)
+    want = np.sqrt(np.sort(((x[:, None] - x[None]) ** 2).sum(2), axis=1))
+    asked, least = spark.sparkContext.accumulator(0), unsupervised._least
+
+    def counted(mine, theirs, k):
+        asked.add(len(mine) * len(theirs))
+        return least(mine, theirs, k)
+
+    monkeypatch.setattr(unsupervised, "_least", counted)
+    for k in (1, 5, 9, len(x)):
+        got = {r["segment_id"]: r["distance"] for r in unsupervised.kth_distances(frame, k).collect()}
+        assert [got[i + 1] for i in range(len(x))] == pytest.approx(list(want[:, k - 1]))
+        assert k > 9 or asked.value < len(x) ** 2 / 4  # all rows against all would be its square
+        asked.value = 0
+    assert unsupervised.auto_eps(frame, 5).first()["eps"] == pytest.approx(np.median(want[:, 4]))
