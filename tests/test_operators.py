@@ -576,3 +576,24 @@ def test_kth_distances_by_blocks(spark, monkeypatch):
         assert k > 9 or asked.value < len(x) ** 2 / 4  # all rows against all would be its square
         asked.value = 0
     assert unsupervised.auto_eps(frame, 5).first()["eps"] == pytest.approx(np.median(want[:, 4]))
+
+
+def test_forest_splits_at_any_value_and_depth(spark, monkeypatch):
+    rows = [(k, float(k), "ab"[k % 2]) for k in range(1, 151)]
+    table = spark.createDataFrame([r[:2] for r in rows], "segment_id int, x double")
+    truth = spark.createDataFrame([(k, c) for k, _, c in rows], "segment_id int, class_label string")
+
+    def right(**params):
+        fitted = supervised.SupervisedClassifier("random_forest", n_estimators=30, min_samples_split=2, **params).fit(table, truth)
+        assert [tuple(r) for r in fitted.feature_importance().collect()] == [("x", pytest.approx(1))]
+        return sum(r["class_label"] == "ab"[k % 2] for k, r in by_id(fitted.predict(table)).items()), by_id(fitted.predict_proba(table))
+
+    # 32 bins and 30 levels, as in MLlib, can't tell 150 values apart
+    whole, chances = right()
+    assert whole > 140
+    assert right()[1] == chances and right(random_state=1)[1] != chances
+    monkeypatch.setattr(supervised.forest, "BLOCK", 20)
+    monkeypatch.setattr(supervised.forest, "_groups", lambda df, trees: 3)
+    assert {k: tuple(r) for k, r in right()[1].items()} == {k: pytest.approx(tuple(r)) for k, r in chances.items()}
+    monkeypatch.setattr(supervised.forest, "CELLS", 149)
+    assert right()[0] < whole  # by MLlib
