@@ -597,3 +597,12 @@ def test_forest_splits_at_any_value_and_depth(spark, monkeypatch):
     assert {k: tuple(r) for k, r in right()[1].items()} == {k: pytest.approx(tuple(r)) for k, r in chances.items()}
     monkeypatch.setattr(supervised.forest, "CELLS", 149)
     assert right()[0] < whole  # by MLlib
+
+
+def test_texture_counts_each_pair_once(spark):
+    px = spark.createDataFrame([(0, c, float(v), 1) for c, v in enumerate((0, 7, 0, 7, 7, 0))], "row int, col int, b0 double, segment_id int")
+    found = texture.cooccurrence(px, levels=8)
+    # 0-7 and 7-0 are one pair of levels: two rows before
+    assert sorted((r["pair"], r["i"], r["j"], r["n"]) for r in found.collect()) == [(0, 0, 7, 4), (0, 7, 7, 1)]
+    got = texture.texture(px, levels=8, angles=(0.0,)).first()
+    assert got["glcm_contrast_b0"] == pytest.approx(49 * 8 / 10) and got["glcm_energy_b0"] == pytest.approx(math.sqrt(0.4**2 * 2 + 0.2**2))
