@@ -606,3 +606,23 @@ def test_texture_counts_each_pair_once(spark):
     assert sorted((r["pair"], r["i"], r["j"], r["n"]) for r in found.collect()) == [(0, 0, 7, 4), (0, 7, 7, 1)]
     got = texture.texture(px, levels=8, angles=(0.0,)).first()
     assert got["glcm_contrast_b0"] == pytest.approx(49 * 8 / 10) and got["glcm_energy_b0"] == pytest.approx(math.sqrt(0.4**2 * 2 + 0.2**2))
+
+
+def test_slic_takes_little_memory_for_noise(spark):
+    import tracemalloc
+
+    image = np.random.RandomState(5).randint(0, 500, (3, 300, 100)).astype(float)
+    tracemalloc.start()
+    got = kernels.slic(image, n_segments=20)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got.min() == 1 and len(np.unique(got)) == got.max()
+    assert most < 300 * got.size  # 3 bands are 24 bytes; sets of neighbours took some 800
+
+
+def test_absorbed_goes_by_size_and_keeps_nodata():
+    labels = np.array([[1, 1, 1, 2, 3], [0, 4, 5, 5, 5]], np.int32)
+    image = np.array([[[0, 0, 0, 6, 7], [0, 9, 8, 8, 8]]], float)
+    # 2 goes to 3 (nearest), then 4 to 5, then 2 and 3 together to 5
+    assert kernels.absorbed(image, labels, 3).tolist() == [[1, 1, 1, 2, 2], [0, 2, 2, 2, 2]]
+    assert kernels.absorbed(image, labels, 3, 0.5).tolist() == labels.tolist()
