@@ -559,6 +559,35 @@ def test_core_points_of_copies(spark):
     assert {r["segment_id"]: r["n_neighbors"] for r in found.collect()} == {k + 1: n for k, n in enumerate(want) if n >= 12}
 
 
+@pytest.mark.parametrize("size, eps", [(1, 0.5), (2, 12.0), (4, 30.0)])
+def test_core_points_count_dense_places_without_pairs(spark, monkeypatch, size, eps):
+    monkeypatch.setattr(unsupervised, "BLOCK", 100)
+    monkeypatch.setattr(unsupervised, "LEAF", 8)
+    x = np.random.RandomState(5).normal(0, 20, (1500, size))
+    x[1000:1100], x[1200:1300] = x[:100], np.round(x[1200:1300])  # copies, and places on a lattice, some just eps apart
+    want = np.concatenate([(((x[k : k + 500, None] - x[None]) ** 2).sum(2) <= eps * eps).sum(1) for k in range(0, len(x), 500)])
+    names = [f"f{i}" for i in range(size)]
+    frame = spark.createDataFrame([(k + 1, *map(float, p)) for k, p in enumerate(x)], "segment_id int, " + ", ".join(f"{n} double" for n in names))
+    compared, between = spark.sparkContext.accumulator(0), unsupervised._between
+
+    def counted(a, b):
+        compared.add(len(a) * len(b))
+        return between(a, b)
+
+    monkeypatch.setattr(unsupervised, "_between", counted)
+    assert {r["segment_id"]: r["n_neighbors"] for r in unsupervised.core_points(frame, eps, 5).collect()} == {k + 1: n for k, n in enumerate(want) if n >= 5}
+    assert size > 2 or compared.value < want.sum() / 2  # a pair of places within eps each, or more, by joins
+
+
+def test_core_points_of_places_far_out_or_without_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1e30, 0.0)] * 3 + [(1.0, 1.0), (1.0, 1.5), (1.5, 1.0)] + [(-1e30, 2.0), (nan, 1.0), (nan, 1.0), (inf, 1.0), (inf, 1.0), (None, 1.0), (None, 1.0)]
+    frame = spark.createDataFrame([(k + 1, *p) for k, p in enumerate(rows)], "segment_id int, x double, y double")
+    for eps, want in ((1.0, {1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 3}), (0.0, {1: 3, 2: 3, 3: 3})):
+        assert {r["segment_id"]: r["n_neighbors"] for r in unsupervised.core_points(frame, eps, 2).collect()} == want
+    assert not unsupervised.core_points(frame.limit(0), 1.0, 1).count()
+
+
 def test_kth_distances_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(unsupervised, "BLOCK", 16)
     x, frame = copies(spark, 40, 5)
