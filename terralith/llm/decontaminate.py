@@ -7,13 +7,14 @@ inside an occurrence of a window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import join_spread, utf8, written
 
@@ -83,6 +84,7 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 SPANS, ITEMS = "array<struct<first:bigint,last:bigint>>", "array<string>"
+RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _hits_of(block: list, docs: DataFrame, n: int) -> DataFrame:
@@ -99,51 +101,52 @@ def _hits_of(block: list, docs: DataFrame, n: int) -> DataFrame:
                     which.append(i)
                     spans.append(_runs(hit))
                     items.append(sorted(own))
-            types = (pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(which, pa.int64())), pa.array(spans, types[0]), pa.array(items, types[1])], ["digest", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(which, pa.int64())), pa.array(spans, RUNS), pa.array(items, pa.list_(pa.string()))], ["digest", "spans", "items"])
 
     texts = docs.select(F.md5(F.col("text").cast("binary")).alias("digest"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(scan, f"digest string, spans {SPANS}, items {ITEMS}").groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most_words: int) -> tuple[DataFrame, str, str, str]:
-    """docs with three columns, and their names: words, spans and items.
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, most_words: int, new: str, told: Callable) -> DataFrame:
+    """The columns of docs and new ones, as told(batch, words, hits, items) gives batches of them: for each text how many
+    words it has, which of them are hit, and the items that hit it.
 
-    All blocks but the last leave what they hit, by the digest of the text; the scan for the last one adds it up.
+    All blocks but the last leave what they hit, by the digest of the text; the scan for the last one adds it up. It is
+    the only pass of the rows through Python, as each more takes a worker, and its memory, for each core.
     """
-    count, spans_, items_, text_, digest_ = (_fresh(docs, f"_{x}") for x in ("n", "spans", "items", "text", "digest"))
+    count, spans_, items_, digest_ = (_fresh(docs, f"_{x}") for x in ("n", "spans", "items", "digest"))
     block, earlier = None, []
     for following in _blocks(benchmark, most_words):
         if block is not None:
             earlier.append(written(_hits_of(block, docs, n), "benchmark-hits"))
         block = following
-    out = docs.withColumns({count: F.lit(0).cast("bigint"), text_: F.col("text").cast("binary")})
+    out = docs
     if earlier:
         both = reduce(DataFrame.unionByName, earlier).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias(spans_), F.flatten(F.collect_list("items")).alias(items_), F.max("n").alias(f"{count}_rows"))
         # texts without words need no partner, and are spread
-        out = out.withColumn(digest_, F.when(F.length("text") > 0, F.md5(text_)))
+        out = out.withColumn(digest_, F.when(F.length("text") > 0, F.md5(F.col("text").cast("binary"))))
         out = join_spread(out, written(both.withColumnRenamed("digest", digest_), "benchmark-hits"), [digest_], ["doc_id"], f"{count}_rows", how="left").drop(digest_, f"{count}_rows")
     else:
         out = out.withColumns({spans_: F.lit(None).cast(SPANS), items_: F.lit(None).cast(ITEMS)})
     windows = docs.sparkSession.sparkContext.broadcast((block, n))
-    out = out.select(*docs.columns, count, text_, spans_, items_)
+    columns = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Windows(*windows.value)
         for b in batches:
-            counts, spans, items = [], [], []
-            for text, s, i in zip(utf8(b.column(text_)), b.column(spans_).to_pylist(), b.column(items_).to_pylist(), strict=True):
+            counts, hit, items = [], [], []
+            for text, s, i in zip(utf8(b.column("text")), b.column(spans_).to_pylist(), b.column(items_).to_pylist(), strict=True):
                 words = words_of(text)
-                hit, own = found.found(words)
+                own, by = found.found(words)
                 for x in s or ():
-                    hit[x["first"] : x["last"] + 1] = True
+                    own[x["first"] : x["last"] + 1] = True
                 counts.append(len(words))
-                spans.append(_runs(hit))
-                items.append(sorted(own.union(i or ())))
-            new = {count: pa.array(counts, pa.int64()), spans_: pa.array(spans, b.column(spans_).type), items_: pa.array(items, b.column(items_).type)}
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+                hit.append(own)
+                items.append(sorted(by.union(i or ())))
+            yield told(b.select(columns), counts, hit, items)
 
-    return out.mapInArrow(scan, out.schema).drop(text_), count, spans_, items_
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(new).fields]) if new else docs.schema
+    return out.select(*columns, spans_, items_).mapInArrow(scan, schema)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 500_000) -> DataFrame:
@@ -155,8 +158,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_words: int = 5
     Null has no words. Windows of items without an id hit too, but items lists ids only; repeated items count once.
     """
     docs = docs.drop("n_words", "spans", "items")
-    out, count, spans, items = _scanned(docs, benchmark, n, most_words)
-    return out.select(*docs.columns, F.col(count).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
+
+    def told(b: pa.RecordBatch, counts: list, hit: list, items: list) -> pa.RecordBatch:
+        new = [pa.array(counts, pa.int64()), pa.array([_runs(x) for x in hit], RUNS), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "n_words", "spans", "items"])
+
+    return _scanned(docs, benchmark, n, most_words, f"n_words bigint, spans {SPANS}, items {ITEMS}", told)
 
 
 def _hit_words(spans: str):
@@ -174,25 +181,25 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: floa
     """docs without what the benchmark shares with them: a document goes if at least drop_share of its words
     are hit; else the hit words go, each span with what stands between its words. n_chars, where docs has it,
     follows a changed text. Documents without a hit stay as they are, null texts too."""
-    found, count, spans_, _ = _scanned(docs, benchmark, n, most_words)
-    found = found.where(_hit_words(spans_) / F.greatest(count, F.lit(1)) < drop_share).select(*docs.columns, spans_)
-    columns = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            lengths = b.column("n_chars").to_pylist() if "n_chars" in columns else None
-            for i, spans in enumerate(b.column(spans_).to_pylist()):
-                if spans:
-                    texts[i] = without(texts[i], [(x["first"], x["last"]) for x in spans])
-                    if lengths:
-                        lengths[i] = len(texts[i])
-            new = {"text": pa.array(texts, b.column("text").type)}
-            if lengths is not None:
-                new["n_chars"] = pa.array(lengths, b.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
-
-    return found.mapInArrow(cut, found.schema).select(*columns)
+    def told(b: pa.RecordBatch, counts: list, hit: list, items: list) -> pa.RecordBatch:
+        keep = [int(x.sum()) / max(k, 1) < drop_share for x, k in zip(hit, counts, strict=True)]
+        b, hit = b.filter(pa.array(keep, pa.bool_())), [x for x, k in zip(hit, keep, strict=True) if k]
+        which = [i for i, x in enumerate(hit) if x.any()]
+        if not which:
+            return b
+        texts = b.column("text").to_pylist()
+        lengths = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
+        for i in which:
+            texts[i] = without(texts[i], [(x["first"], x["last"]) for x in _runs(hit[i])])
+            if lengths:
+                lengths[i] = len(texts[i])
+        new = {"text": pa.array(texts, b.column("text").type)}
+        if lengths is not None:
+            new["n_chars"] = pa.array(lengths, b.column("n_chars").type)
+        return pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+
+    return _scanned(docs, benchmark, n, most_words, "", told)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

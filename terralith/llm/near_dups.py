@@ -34,9 +34,10 @@ MANTISSA = 10
 ESTIMATE_SLACK = 0.2
 #: Members compared to one copy of their hub, so that a hub of very many members is spread.
 MEMBERS_AT_ONCE = 500
-#: Classes outside the largest component of a cluster that a task holds, members that it reads, and common elements
-#: that it counts at a time.
-OUTSIDE_AT_ONCE, MEMBERS_OF_TASK, COMMON_AT_ONCE = 2048, 4096, 1 << 22
+#: Classes outside the largest component of a cluster that a task holds, and members that it reads.
+OUTSIDE_AT_ONCE, MEMBERS_OF_TASK = 2048, 4096
+#: Of the classes held, those that meet members at a time, and the elements of their sets.
+ROWS_AT_ONCE, ELEMENTS_AT_ONCE = 128, 1 << 18
 #: Distinct words whose hashes a task keeps.
 MEMO = 1 << 20
 
@@ -194,31 +195,35 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each left set with each right one, by the places of the left sets' elements."""
+    """Sizes of the intersections of each left set with each right one, by the places of the left sets' elements.
+
+    One right set at a time: it meets each of these places once at most, so that sets with very many common elements
+    take no more memory than the left ones."""
     owner = np.repeat(np.arange(len(left)), [len(x) for x in left])
     elements = np.concatenate(left)
     order = np.argsort(elements, kind="stable")
     elements, owner = elements[order], owner[order]
     out = np.zeros((len(right), len(left)), np.int64)
-    at = 0
-    while at < len(right):
-        # as many right sets as have a bounded number of common elements
-        begin, end, rows, n = [], [], [], 0
-        while at < len(right) and n < COMMON_AT_ONCE:
-            b, e = np.searchsorted(elements, right[at], "left"), np.searchsorted(elements, right[at], "right")
-            begin.append(b)
-            end.append(e)
-            rows.append(np.full(len(b), at))
-            n += int((e - b).sum())
-            at += 1
-        b, size, row = np.concatenate(begin), np.concatenate(end) - np.concatenate(begin), np.concatenate(rows)
-        where = np.repeat(b - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        first = int(row[0]) if len(row) else 0
-        found = np.bincount((np.repeat(row, size) - first) * len(left) + owner[where], minlength=(at - first) * len(left))
-        out[first:at] += found.reshape(-1, len(left))
+    for row, x in zip(out, right, strict=True):
+        begin, end = np.searchsorted(elements, x, "left"), np.searchsorted(elements, x, "right")
+        size = end - begin
+        where = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        row[:] = np.bincount(owner[where], minlength=len(left))
     return out.T
 
 
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    """Slices of at most ROWS_AT_ONCE sets of these sizes, with at most ELEMENTS_AT_ONCE elements or of one set."""
+    at = n = 0
+    for k, size in enumerate(sizes):
+        if k > at and (k - at >= ROWS_AT_ONCE or n + size > ELEMENTS_AT_ONCE):
+            yield slice(at, k)
+            at, n = k, 0
+        n += size
+    if len(sizes):
+        yield slice(at, len(sizes))
+
+
 class _Apart:
     """Classes of one cluster in different components: those outside the largest against a part of all of them."""
 
@@ -238,14 +243,18 @@ class _Apart:
         if len(self.registers) != len(self.rows):
             self.registers = np.stack([np.frombuffer(r[3], np.uint16) for r in self.rows])
         theirs = np.stack([np.frombuffer(r[3], np.uint16) for r in others])
-        equal = np.zeros((len(self.rows), len(others)), np.int16)
-        for k in range(REGISTERS):
-            equal += self.registers[:, k, None] == theirs[None, :, k]
         n, m = np.array([r[2] for r in self.rows], float)[:, None], np.array([r[2] for r in others], float)[None]
-        chance = collision(n, m)
-        out = (equal / REGISTERS - chance) / (1 - chance) >= self.percent / 100 - ESTIMATE_SLACK
-        out &= 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
-        out &= np.array([self.root(r[1]) for r in self.rows])[:, None] != np.array([self.root(r[1]) for r in others])[None]
+        own, other = (np.array([self.root(r[1]) for r in rows]) for rows in (self.rows, others))
+        out = np.empty((len(self.rows), len(others)), bool)
+        for at in range(0, len(self.rows), ROWS_AT_ONCE):
+            part = slice(at, at + ROWS_AT_ONCE)
+            equal = np.zeros(out[part].shape, np.int16)
+            for k in range(REGISTERS):
+                equal += self.registers[part, k, None] == theirs[None, :, k]
+            chance = collision(n[part], m)
+            out[part] = (equal / REGISTERS - chance) / (1 - chance) >= self.percent / 100 - ESTIMATE_SLACK
+            out[part] &= 100 * np.minimum(n[part], m) >= self.percent * np.maximum(n[part], m)
+            out[part] &= own[part, None] != other[None]
         return out
 
     def links(self, others: list[tuple]) -> list[tuple[int, int]]:
@@ -257,16 +266,19 @@ class _Apart:
         if not hasattr(self, "sets"):
             self.sets = [shingle_set(r[4], self.size, self.memo) for r in self.rows]
         sets = [shingle_set(others[j][4], self.size, self.memo) for j in b]
-        n, m = np.array([len(self.sets[i]) for i in a])[:, None], np.array([len(x) for x in sets])[None]
-        common = _counts([self.sets[i] for i in a], sets)
-        linked = likely[np.ix_(a, b)] & (100 * common >= self.percent * (n + m - common))
+        m = np.array([len(x) for x in sets])[None]
         out = []
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            x, y = self.rows[a[i]], others[b[j]]
-            p, q = self.root(x[1]), self.root(y[1])
-            if p != q:
-                self.joined[max(p, q)] = min(p, q)
-                out.append((x[0], y[0]))
+        for part in _slices([len(self.sets[i]) for i in a]):
+            rows = a[part]
+            n = np.array([len(self.sets[i]) for i in rows])[:, None]
+            common = _counts([self.sets[i] for i in rows], sets)
+            linked = likely[np.ix_(rows, b)] & (100 * common >= self.percent * (n + m - common))
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = self.rows[rows[i]], others[b[j]]
+                p, q = self.root(x[1]), self.root(y[1])
+                if p != q:
+                    self.joined[max(p, q)] = min(p, q)
+                    out.append((x[0], y[0]))
         return out
 
 

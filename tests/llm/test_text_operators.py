@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -245,6 +246,48 @@ def test_estimate_is_corrected():
         assert abs(np.mean(errors)) < 0.03
 
 
+def test_blocks_of_near_copies_in_bounded_memory():
+    """Sets of one group of near copies have nearly all elements in common, a hundred million here."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300, np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.08, rng.integers(0, 2**63, 300, np.uint64), base)) for _ in range(1000)]
+    tracemalloc.start()
+    common = near_dups._counts(sets[:600], sets[600:])
+    most = tracemalloc.get_traced_memory()[1] - common.nbytes
+    tracemalloc.stop()
+    assert most < 20e6
+    for i, j in rng.integers(0, 400, (50, 2)):
+        assert common[i, j] == len(np.intersect1d(sets[i], sets[600 + j]))
+
+
+@pytest.mark.parametrize("rows_, elements", [(128, 1 << 18), (3, 700)])
+def test_links_of_a_block_against_brute_force(monkeypatch, rows_, elements):
+    monkeypatch.setattr(near_dups, "ROWS_AT_ONCE", rows_)
+    monkeypatch.setattr(near_dups, "ELEMENTS_AT_ONCE", elements)
+    r = np.random.default_rng(6)
+    texts_ = []
+    for _ in range(60):
+        words = [f"g{k}" for k in range(200)]
+        for k in r.integers(0, 200, r.integers(0, 8)):
+            words[k] = f"x{r.integers(0, 10**6)}"
+        texts_.append(" ".join(words).encode())
+    sets = [near_dups.shingle_set(t, 2, near_dups._WordHashes()) for t in texts_]
+    all_ = [(i, i, len(x), near_dups.sketch(x).tobytes(), t) for i, (x, t) in enumerate(zip(sets, texts_, strict=True))]
+    apart = near_dups._Apart(2, 90)
+    apart.rows = all_[:30]
+    for a, b in apart.links(all_[30:]):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common)
+    want = {i: i for i in range(60)}
+    for a, b in itertools.product(range(30), range(30, 60)):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = min(want[a], want[b]), max(want[a], want[b])
+            want = {k: x if v == y else v for k, v in want.items()}
+    assert {i: apart.root(i) for i in range(60)} == want
+    assert 1 < len(set(want.values())) < 60
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (7, 9), *((20 + k, 21 + k) for k in range(40))]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -306,6 +349,25 @@ def test_cleaning(spark, docs, benchmark):
     assert out.where("text is not null and n_chars <> length(text)").count() == 0
 
 
+def test_rows_pass_through_python_once(docs, benchmark, capsys):
+    """Each pass takes a Python worker for each core, with its memory."""
+    cleaned(docs, benchmark[1]).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_cleaning_against_brute_force(docs, texts, benchmark):
+    """Which documents go, and which change."""
+    items, frame = benchmark
+    want = Counter()
+    for i, t in texts:
+        n, hit = brute_report(t, items, 10)[:2]
+        if hit < 0.2 * max(n, 1):
+            want[i, n - hit] += 1
+    got = Counter((r["doc_id"], len(re.findall(WORD, (r["text"] or "").translate(LOWER)))) for r in cleaned(docs, frame).collect())
+    assert got == want and 0 < sum(want.values()) < len(texts)
+    assert Counter((r["doc_id"], r["text"]) for r in cleaned(docs, frame, most_words=60).collect()) == Counter((r["doc_id"], r["text"]) for r in cleaned(docs, frame).collect())
+
+
 # token counts
 @pytest.fixture(scope="module")
 def model_path():
